@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_rows, materialize
+from .common import BROADCAST_ROWS, arrow_rows, join_sized, materialize
 
 WINDOW = 10
 #: Words of a shard of training text, but for a longer single text.
@@ -144,7 +144,7 @@ def _spans(mask: np.ndarray) -> list[int]:
 
 
 def _search(docs: DataFrame, items: list[tuple[int, bytes | None]], window: int) -> DataFrame:
-    """(row, doc_id, n_words, spans, items, longest, longest_at); spans: starts and ends of hit words."""
+    """(row, doc_id, text_hash, n_words, spans, items, longest, longest_at); spans: starts and ends of hit words."""
     sent = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,15 +154,15 @@ def _search(docs: DataFrame, items: list[tuple[int, bytes | None]], window: int)
         def out(rows: list) -> pa.RecordBatch:
             hit, found, longest, at = search_shard([r[2] for r in rows], q)
             return pa.RecordBatch.from_arrays([
-                pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
+                pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()),
                 pa.array([len(r[2]) for r in rows], pa.int64()), pa.array([_spans(h) for h in hit], pa.list_(pa.int64())),
                 pa.array([[q.ids[k] for k in sorted(f)] for f in found], pa.list_(pa.int64())), pa.array(longest), pa.array(at)], names)
 
         held, n = [], 0
         for batch in batches:
-            for row, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), arrow_rows(batch, "text")):
+            for row, doc, key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), arrow_rows(batch, "text")):
                 own = words(text)
-                held.append((row, doc, np.fromiter((get(w, 0) for w in own), np.int32, len(own))))
+                held.append((row, doc, np.fromiter((get(w, 0) for w in own), np.int32, len(own)), key))
                 n += len(own)
                 if n >= SHARD_WORDS:
                     yield out(held)
@@ -170,22 +170,22 @@ def _search(docs: DataFrame, items: list[tuple[int, bytes | None]], window: int)
         if held:
             yield out(held)
 
-    names = ["row", "doc_id", "n_words", "spans", "items", "longest", "longest_at"]
-    return docs.mapInArrow(run, "row long, doc_id long, n_words long, spans array<long>, items array<long>, longest long, longest_at long")
+    names = ["row", "doc_id", "text_hash", "n_words", "spans", "items", "longest", "longest_at"]
+    return docs.mapInArrow(run, "row long, doc_id long, text_hash long, n_words long, spans array<long>, items array<long>, longest long, longest_at long")
 
 
 def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
            block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """For each row of ``docs``: doc_id, n_words, spans (starts and ends of the hit words), items (ids whose windows
+    """For each row of ``docs``: doc_id, text_hash, n_words, spans (starts and ends of the hit words), items (ids whose windows
     occur), longest (words of the longest verbatim match of a window or more) and longest_at (its first word)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     bench = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     blocks = 1 + (bench.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars
     block = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
     parts = lambda k: [(r[0], r[1].encode()) for r in bench.where(block == k).collect()]
     if blocks == 1:
-        return _search(rows.select(F.lit(0).cast("long").alias("row"), "doc_id", "text"), parts(0), window).drop("row")
-    rows = materialize(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "decontaminate_rows")
+        return _search(rows.select(F.lit(0).cast("long").alias("row"), "doc_id", "text_hash", "text"), parts(0), window).drop("row")
+    rows = materialize(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_hash", "text"), "decontaminate_rows")
     every = None
     for k in range(blocks):
         own = _search(rows, parts(k), window)
@@ -193,28 +193,37 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col:
     pairs = F.transform(F.sequence(F.lit(0), F.size("spans") / 2 - 1), lambda i: F.struct(F.get("spans", 2 * i.cast("int")).alias("a"), F.get("spans", 2 * i.cast("int") + 1).alias("b")))
     every = every.withColumn("pairs", F.when(F.size("spans") > 0, pairs).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>")))
     one = every.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("pairs"))).alias("pairs"),
+        F.first("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash"), F.first("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("pairs"))).alias("pairs"),
         F.sort_array(F.flatten(F.collect_list("items"))).alias("items"), F.max(F.struct("longest", "longest_at")).alias("m"))
     merged = F.aggregate("pairs", F.array().cast("array<bigint>"), lambda s, p: F.when(
         (F.size(s) > 0) & (F.element_at(s, -1) >= p["a"]),
         F.concat(F.slice(s, F.lit(1), F.size(s) - 1), F.array(F.greatest(F.element_at(s, -1), p["b"])))).otherwise(F.concat(s, F.array(p["a"], p["b"]))))
-    return one.select("doc_id", "n_words", merged.alias("spans"), "items", "m.longest", "m.longest_at")
+    return one.select("doc_id", "text_hash", "n_words", merged.alias("spans"), "items", "m.longest", "m.longest_at")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest, longest_at) for each row of ``docs``."""
+    """(doc_id, text_hash, n_words, n_hit, n_items, items_sha256, contaminated, longest, longest_at) for each row of ``docs``."""
     found = search(docs, benchmark, window)
     n_hit = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda s, x: s + x)
     names = F.array_join(F.sort_array(F.transform("items", lambda x: x.cast("string"))), ",")
     return found.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        "doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(names.cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "longest", "longest_at")
 
 
+def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that hold an occurrence of a window."""
+    found = search(docs, benchmark, window, id_col, text_col).where(F.size("spans") > 0)
+    found = materialize(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "contaminated")
+    same = F.col(f"r.{id_col}").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(f"r.{text_col}") == F.col("_hash"))
+    rows = docs.select(F.struct("*").alias("r"))
+    return join_sized(rows, found, found.limit(BROADCAST_ROWS + 1).count(), same, "left_anti").select("r.*")
+
+
 def sha256_of(items: list[int]) -> str:
     """The digest of a document's items, for tests."""
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
-    return decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text_hash")

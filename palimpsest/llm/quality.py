@@ -52,14 +52,14 @@ def _covered(win: Column, n: int) -> Column:
 
 
 def base_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, hashes, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed) for each row."""
+    """(doc_id, row, hashes, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed) for each row; row: all its columns."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), _hashes(words_of(F.col(text_col))).alias("hashes"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.struct("*").alias("row"), text.alias("text"), _hashes(words_of(F.col(text_col))).alias("hashes"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     n_long = F.col("n_words")
     return (
         rows.select(
-            "doc_id", "hashes", F.size("hashes").cast("long").alias("n_words"),
+            "doc_id", "row", "hashes", F.size("hashes").cast("long").alias("n_words"),
             F.length(F.translate("text", BLANKS, "")).cast("long").alias("word_chars"),
             (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
             let(lines, lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines"),
@@ -100,7 +100,7 @@ def ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, id_col:
 
 def quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS,
             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Base rule columns, llr_units (long), n_grams, score and kept for each row of ``docs``."""
+    """Base rule columns, row, llr_units (long), n_grams, score and kept for each row of ``docs``."""
     table = ratios(docs, trusted, buckets, id_col, text_col)
     units = let(F.col("ratios"), lambda w: F.aggregate(
         _buckets(F.col("hashes"), buckets), F.lit(0).cast("long"), lambda s, b: s + F.get(w, b)))
@@ -120,4 +120,4 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 def op1(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return quality(docs, trusted_ids(labels))
+    return quality(docs, trusted_ids(labels)).drop("row")

@@ -56,13 +56,14 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) for each row, fp as a signed long."""
+    """(doc_id, text_hash, fp) for each row, fp as a signed long."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t, shingle) for t in arrow_rows(batch, "text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 @functools.cache
@@ -214,7 +215,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for each row; component_id: the smallest id that links reach."""
+    """(doc_id, text_hash, fp, component_id) for each row; component_id: the smallest id that links reach."""
     fps = materialize(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash_classes")
     edges = links(classes.select("fp"), distance)
@@ -222,7 +223,30 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     least = groups.groupBy("root").agg(F.min("first_id").alias("component_id"))
     linked = groups.join(least, "root").select("fp", "component_id")
     table = materialize(classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")), "simhash_components")
-    return join_sized(fps, table, table.limit(BROADCAST_ROWS + 1).count(), ["fp"], "left").select("doc_id", "fp", "component_id")
+    return join_sized(fps, table, table.limit(BROADCAST_ROWS + 1).count(), ["fp"], "left").select("doc_id", "text_hash", "fp", "component_id")
+
+
+def deduplicate(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: the smallest id, of that the smallest text hash; of equal rows one.
+
+    Rows of a null id in a component that has other ids go; if all ids of a component are null, one row stays.
+    """
+    found = near_duplicates(docs, distance, shingle, id_col, text_col)
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    # a component that has no id is told by its fingerprint's class
+    keys = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp")).agg(F.min(first).alias("k"))
+    kept = materialize(keys.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash")), "simhash_kept")
+    n = kept.limit(BROADCAST_ROWS + 1).count()
+    same = F.col(f"r.{id_col}").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(f"r.{text_col}") == F.col("_hash"))
+    repeated = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    repeated = materialize(repeated.join(kept.select(F.col("_id").alias("i"), F.col("_hash").alias("h")), F.col("_id").eqNullSafe(F.col("i")) & (F.col("_hash") == F.col("h")), "left_semi"), "simhash_repeated")
+    rows = join_sized(docs.select(F.struct("*").alias("r")), kept, n, same, "left_semi")
+    m = repeated.limit(BROADCAST_ROWS + 1).count()
+    if not m:
+        return rows.select("r.*")
+    once = join_sized(rows, repeated, m, same, "left_anti")
+    more = join_sized(rows, repeated, m, same, "left_semi").groupBy(F.col(f"r.{id_col}"), F.xxhash64(f"r.{text_col}")).agg(F.first("r").alias("r"))
+    return once.unionAll(more.select("r")).select("r.*")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
