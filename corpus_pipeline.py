@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from palimpsest.llm import decontaminate, linededup, packing, quality, simhash
-from palimpsest.llm.common import materialize
+from palimpsest.llm.common import materialize, shipped
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +40,9 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 STAGES = [
     ("quality_rules", quality_rules),
     ("line_dedup", line_dedup),
-    ("simhash_near_dedup", near_dedup),
-    ("benchmark_decontamination", decontamination),
-    ("best_fit_packing", best_fit_packing),
+    ("simhash_near_dedup", shipped(near_dedup)),
+    ("benchmark_decontamination", shipped(decontamination)),
+    ("best_fit_packing", shipped(best_fit_packing)),
 ]
 
 #: Hashed n-grams, shingle fingerprints and token ids have no SQL; tests hold each stage against brute force.

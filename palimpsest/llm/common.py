@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -25,6 +28,30 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the Python workers, once a context, for sessions that were started without it."""
+    context = spark.sparkContext
+    if getattr(context, "_palimpsest_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    held = Path(tempfile.mkdtemp(prefix="palimpsest-")) / "palimpsest.zip"
+    with zipfile.ZipFile(held, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    context.addPyFile(str(held))
+    context._palimpsest_shipped = True
+
+
+def shipped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A query or stage, whose first argument is the session, that ships the package first."""
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        ship(spark)
+        return query(spark, *args)
+
+    return run
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back: cuts lineage, survives lost executors.
 

@@ -126,8 +126,9 @@ def search_shard(ids: list[np.ndarray], q: Queries) -> tuple[list[np.ndarray], l
             ranges, which = np.unique(np.stack([lo[full], hi[full]], 1), axis=0, return_inverse=True)
             for r, (x, y) in enumerate(ranges.tolist()):
                 windows[(x, y, depth)] = q.item[full[which.reshape(-1) == r]]
-        if depth >= q.least and len(live):  # the longest so far: locations of the ranges, all of one depth
-            for x, y in np.unique(np.stack([lo[live], hi[live]], 1), axis=0).tolist():
+        held = live[(q.room[live] > 0) & (q.room[live] <= depth)]
+        if len(held):  # the longest so far: locations of the ranges, all of one depth
+            for x, y in np.unique(np.stack([lo[held], hi[held]], 1), axis=0).tolist():
                 d = owner[order[x:y]]
                 longest[d], longest_at[d] = depth, origin[order[x:y]]
         live = live[q.seq[q.start[live] + depth] > 0]
@@ -177,7 +178,7 @@ def _search(docs: DataFrame, items: list[tuple[int, bytes | None]], window: int)
 def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
            block_chars: int = BLOCK_CHARS) -> DataFrame:
     """For each row of ``docs``: doc_id, text_hash, n_words, spans (starts and ends of the hit words), items (ids whose windows
-    occur), longest (words of the longest verbatim match of a window or more) and longest_at (its first word)."""
+    occur), longest (words of the longest verbatim match that holds a window) and longest_at (its first word)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     bench = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     blocks = 1 + (bench.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars
@@ -190,7 +191,7 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col:
     for k in range(blocks):
         own = _search(rows, parts(k), window)
         every = own if every is None else every.unionAll(own)
-    pairs = F.transform(F.sequence(F.lit(0), F.size("spans") / 2 - 1), lambda i: F.struct(F.get("spans", 2 * i.cast("int")).alias("a"), F.get("spans", 2 * i.cast("int") + 1).alias("b")))
+    pairs = F.transform(F.sequence(F.lit(0), F.size("spans") - 2, F.lit(2)), lambda i: F.struct(F.get("spans", i).alias("a"), F.get("spans", i + 1).alias("b")))
     every = every.withColumn("pairs", F.when(F.size("spans") > 0, pairs).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>")))
     one = every.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash"), F.first("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("pairs"))).alias("pairs"),

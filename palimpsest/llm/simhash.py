@@ -181,7 +181,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, bucket_rows: int = BUCKET_RO
             yield made(held)
 
     rows, found = _keys(fps, distance), None
-    for depth in range(2, distance + 2):
+    for depth in range(2, max(distance, 1) + 2):
         hot = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows).select("key")
         hot = materialize(hot, "simhash_hot") if depth <= distance else hot.limit(0)
         n = hot.limit(BROADCAST_ROWS + 1).count() if depth <= distance else 0
