@@ -55,7 +55,7 @@ def stream_ingest(spark, d):
     store, check = Store.open(spark, _root(spark)), f"{_root(spark)}/checkpoint"
     source = events(spark, d)
     for _ in range(2):
-        stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet")
+        stream = spark.readStream.schema(source.schema).parquet(f"{d}/event[s].parquet")
         rows = stream.select(F.lpad(F.col("user_id").cast("string"), 6, "0").alias("raw_key"),
                              F.when(F.col("event_type") != "error", F.col("props")).alias("value"), F.col("event_id").alias("commit_order"))
         ingest(rows, store, check, "events").awaitTermination()

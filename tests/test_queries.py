@@ -1,8 +1,9 @@
 import duckdb
 import pytest
 
-from palimpsest.plans.queries import ORACLE_SQL, QUERIES
+from palimpsest.plans import lifecycle, queries
 
+QUERIES, ORACLE_SQL = queries.QUERIES | lifecycle.QUERIES, queries.ORACLE_SQL | lifecycle.ORACLE_SQL
 DATA = "/root/testdata/sf0.001"
 
 
