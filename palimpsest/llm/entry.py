@@ -17,4 +17,4 @@ QUERIES = {
     "op9_simhash_near_dedup": shipped(simhash.op9),
     "op10_pii": shipped(pii.op10),
 }
-ORACLE_SQL = {"op8_line_dedup": linededup.OP8_SQL}
+ORACLE_SQL = {"op3_benchmark_decontamination": decontaminate.OP3_SQL, "op8_line_dedup": linededup.OP8_SQL}
