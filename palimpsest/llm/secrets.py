@@ -154,7 +154,7 @@ def forest_score(forest: list[Node], x: Column) -> Column:
 
     roots = [add(t) for t in forest]
 
-    def step(n: Column, tables: Column) -> Column:
+    def step(n: Column, tables: Column, x: Column) -> Column:
         f = F.get(tables["feature"], n)
         return F.when(f < 0, n).when(F.get(x, f) <= F.get(tables["cut"], n), F.get(tables["low"], n)).otherwise(F.get(tables["high"], n))
 
@@ -163,8 +163,8 @@ def forest_score(forest: list[Node], x: Column) -> Column:
 
     steps = F.lit(list(range(max(1, *map(depth, forest)))))
     tables = F.struct(*[F.lit(v).alias(k) for k, v in (("feature", feature), ("cut", cut), ("low", low), ("high", high), ("share", share))])
-    return let(tables, lambda t: F.aggregate(
-        F.transform(F.lit(roots), lambda r: F.get(t["share"], F.aggregate(steps, r, lambda n, _: step(n, t)))), F.lit(0.0), lambda a, v: a + v) / len(forest))
+    return let(x, lambda x: let(tables, lambda t: F.aggregate(
+        F.transform(F.lit(roots), lambda r: F.get(t["share"], F.aggregate(steps, r, lambda n, _: step(n, t, x)))), F.lit(0.0), lambda a, v: a + v) / len(forest)))
 
 
 def labelled_findings(spark: SparkSession, n: int = 3000, seed: int = SEED) -> DataFrame:
