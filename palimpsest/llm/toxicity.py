@@ -100,17 +100,20 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _rows(sets: list[set[int]]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(s) for s in sets], np.int64)
-    return np.repeat(np.arange(len(sets)), sizes), np.array([x for s in sets for x in sorted(s)], np.int64)
+def _rows(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and value of each element; null lists have none."""
+    sizes = np.asarray(lists.value_lengths().fill_null(0), np.int64)
+    return np.repeat(np.arange(len(lists)), sizes), np.asarray(lists.flatten(), np.int64)
 
 
-def _logistic(ids: list[set[int]], twins: list[set[int] | None], y: np.ndarray, n: int, steps: int = 400) -> tuple[np.ndarray, float]:
+def _logistic(ids: pa.ListArray, gone: pa.ListArray, come: pa.ListArray, y: np.ndarray, n: int, steps: int = 400) -> tuple[np.ndarray, float]:
     """Weights and bias by Adam on the whole sample: log loss in which both labels weigh alike, ridge and the swaps'
-    squared changes of the log odds."""
+    squared changes of the log odds.
+
+    ids: the features of each text; gone, come: those that the swap takes away and brings.
+    """
     row, col = _rows(ids)
-    pairs = [(a, b) for a, b in zip(ids, twins) if b is not None and a != b]
-    left, right = _rows([a - b for a, b in pairs]), _rows([b - a for a, b in pairs])
+    left, right = _rows(gone), _rows(come)
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     w, bias = np.zeros(n), 0.0
     m, v = np.zeros(n + 1), np.zeros(n + 1)
@@ -118,8 +121,8 @@ def _logistic(ids: list[set[int]], twins: list[set[int] | None], y: np.ndarray,
         z = bias + np.bincount(row, w[col], len(y))
         err = (1 / (1 + np.exp(-z)) - y) * weight / len(y)
         grad = np.bincount(col, err[row], n) + RIDGE * w
-        if pairs:
-            change = (np.bincount(left[0], w[left[1]], len(pairs)) - np.bincount(right[0], w[right[1]], len(pairs))) * 2 * SWAP_PENALTY / len(y)
+        if len(left[0]) or len(right[0]):
+            change = (np.bincount(left[0], w[left[1]], len(y)) - np.bincount(right[0], w[right[1]], len(y))) * 2 * SWAP_PENALTY / len(y)
             grad += np.bincount(left[1], change[left[0]], n) - np.bincount(right[1], change[right[0]], n)
         g = np.append(grad, err.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -160,15 +163,14 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, n_features
         model = sent.value
         for batch in batches:
             own = [words(t) for t in arrow_rows(batch, "text")]
-            other = [swapped(w) for w in own]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([sorted(model.ids(w)) for w in own], pa.list_(pa.int32())),
-                pa.array([None if w is None else sorted(model.ids(w)) for w in other], pa.list_(pa.int32()))], ["y", "ids", "twin"])
-
-    rows = texts.mapInArrow(lists, "y int, ids array<int>, twin array<int>").collect()  # bounded by fit_rows and n_features
-    rows.sort(key=lambda r: (r["y"], r["ids"]))  # the fit doesn't depend on the order in which rows come
-    weights, bias = _logistic([set(r["ids"]) for r in rows], [None if r["twin"] is None else set(r["twin"]) for r in rows],
-                              np.array([r["y"] == 1 for r in rows], float), len(names))
+            ids = [model.ids(w) for w in own]
+            other = [ids[k] if (x := swapped(w)) is None else model.ids(x) for k, w in enumerate(own)]
+            out = (ids, [a - b for a, b in zip(ids, other)], [b - a for a, b in zip(ids, other)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([sorted(x) for x in s], pa.list_(pa.int32())) for s in out)], ["y", "ids", "gone", "come"])
+
+    found = texts.mapInArrow(lists, "y int, ids array<int>, gone array<int>, come array<int>").toArrow()  # bounded by fit_rows and n_features
+    y = (np.asarray(found["y"]) == 1).astype(float)
+    weights, bias = _logistic(*(found[c].combine_chunks() for c in ("ids", "gone", "come")), y, len(names))
     return Model(names, weights, bias)
 
 
