@@ -16,9 +16,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import materialize
+from .common import join_sized, materialize
 
 SHARDS = 8
 SEED = 20240
@@ -74,13 +74,18 @@ def shuffled(docs: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, text_col: str = "text") -> DataFrame:
     """(row struct, shard, slot) for each row of ``docs``."""
     rows, buckets = shuffled(docs, seed, bucket_bytes, text_col)
-    counts = dict(rows.groupBy("bucket").count().collect())
-    offsets, total = [], 0
-    for b in range(buckets):
-        offsets.append((b, total))
-        total += counts.get(b, 0)
-    table = docs.sparkSession.createDataFrame(offsets, "bucket int, offset long")
-    rows = rows.join(F.broadcast(table) if buckets <= 1_000_000 else table, "bucket")
+    # what comes before each bucket: sums within groups of buckets, and the groups' totals, one for 1024 buckets
+    group = F.shiftright("bucket", 10)
+    counts = rows.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("g", group)
+    before, total = [], 0
+    for g, n in sorted(counts.groupBy("g").agg(F.sum("n")).collect()):
+        before.append((g, total))
+        total += n
+    w = Window.partitionBy("g").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    groups = docs.sparkSession.createDataFrame(before, "g int, before long")
+    table = counts.withColumn("own", F.sum("n").over(w)).join(F.broadcast(groups), "g")
+    table = table.select("bucket", (F.col("before") + F.col("own") - F.col("n")).alias("offset"))
+    rows = join_sized(rows, table, buckets, ["bucket"], "inner")
     at = F.col("offset") + F.col("place")
     return rows.select("row", (at % shards).cast("int").alias("shard"), F.floor(at / shards).cast("long").alias("slot"))
 
