@@ -66,7 +66,7 @@ def shuffled(docs: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES
         if held:
             yield from mixed(held)
 
-    scattered = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "number")
+    scattered = rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "number")
     schema = scattered.drop("number").schema.add("place", "long")
     return materialize(scattered.mapInArrow(run, schema), "shuffled"), buckets
 
