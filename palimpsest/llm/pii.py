@@ -77,7 +77,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             out.append((m.start(), 2, m.end()))
     if "." in text:
         for m in _IP.finditer(text):
-            if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
+            if all(len(y := x.lstrip("0")) <= 3 and int(y or 0) <= 255 for x in m[0].split(".")):
                 out.append((m.start(), 1, m.end()))
     if "+" in text:
         for m in _PHONE.finditer(text):

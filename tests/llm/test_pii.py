@@ -38,6 +38,13 @@ def test_base_rules(text):
     assert pii.base_spans(text) == brute(text)
 
 
+def test_very_long_runs():
+    zeros, ones = "0" * 100_000, "1" * 100_000
+    text = f"{zeros}1.2.3.4 {ones}.1.1.1 a@{'b' * 100_000} +{ones}" + "@" * 50_000 + "x." * 50_000
+    assert [(k, text[a:a + 4]) for a, k, _ in pii.base_spans(text)] == [(1, "0000")]
+    assert pii.base_spans("7" * 300_000) == []
+
+
 def card(rng):
     own = "".join(rng.choices("0123456789", k=15))
     return next(own + str(d) for d in range(10) if luhn(own + str(d)))
