@@ -18,7 +18,7 @@ from .common import BROADCAST_ROWS, join_sized, let, words_of
 
 BUCKETS = 10_000
 #: Kept from this mean log-likelihood ratio (nats for each n-gram) on.
-THRESHOLD = -0.15
+THRESHOLD = -0.07
 UNIT = 1 << 20
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
