@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from palimpsest.llm import decontaminate, linededup, packing, quality, simhash
-from palimpsest.llm.common import materialize, shipped
+from palimpsest.llm.common import materialize, release, scratch, shipped
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            docs = materialize(stage(spark, docs, sf_dir), name, keep=True)
+        if last is not None:
+            release(last)
+        last = docs
     return docs

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -52,20 +53,46 @@ def shipped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, path: str, at_exit: bool = False) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.deleteOnExit(where) if at_exit else files.delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that operators have written within it; not those written with ``keep``."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _delete(spark, path)
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back: cuts lineage, survives lost executors.
 
-    The files are deleted when the application's file system closes.
+    The files go with the enclosing ``scratch``, else when the application's file system closes.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/palimpsest/{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    if _scopes and not keep:
+        _scopes[-1].append(path)
+    _delete(spark, path, at_exit=True)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Deletes a table that ``materialize`` has written."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        _delete(df.sparkSession, path)
+
+
 def join_sized(big: DataFrame, small: DataFrame, rows: int, on: Column | list[str], how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Joins with ``small`` broadcast if its counted ``rows`` are within ``limit``; else both sides shuffle."""
     return big.join(F.broadcast(small) if rows <= limit else small.hint("merge"), on, how)

@@ -1,9 +1,11 @@
 import random
+from pathlib import Path
 
 import pytest
 
 import corpus_pipeline
 from palimpsest.llm import entry, linededup, packing, quality
+from palimpsest.llm.common import shared_dir
 
 from . import test_decontaminate, test_linededup, test_quality, test_simhash
 from .conftest import SCHEMA, corpus
@@ -15,7 +17,7 @@ def tables(spark, tmp_path_factory):
     rng = random.Random(3)
     rows = [r if r[1] is None else (r[0], r[1] + f"\nthe line of every site\nown line {r[0]} {rng.random()}", *r[2:4], len(r[1])) for r in corpus(120)]
     rows += [(500 + i, rows[30][1], "en", f"src{i}", 0) for i in range(4)]
-    labels = [(i, int(i % 4 > 0), 0) for i in range(0, 120)]
+    labels = [(i, int(i % 12 > 0), 0) for i in range(0, 120)]
     items = [(k, " ".join((rows[k][1] or "x").split()[3:16])) for k in (40, 41, 42)]
     at = f"file://{tmp_path_factory.mktemp('tables')}"
     spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{at}/documents.parquet")
@@ -70,11 +72,15 @@ def test_each_stage_against_brute_force(spark, tables):
 
 def test_run_is_the_stages_in_turn(spark, tables):
     at = tables[0]
+    shared = Path(shared_dir(spark).removeprefix("file://"))
     docs = spark.read.parquet(f"{at}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, at).cache()
     pieces = lambda df: key((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in df.collect())
-    assert pieces(corpus_pipeline.run(spark, at)) == pieces(docs)
+    before = {p for p in shared.rglob("*.parquet")}
+    out = corpus_pipeline.run(spark, at)
+    assert {p.parent.name for p in shared.rglob("*.parquet") if p not in before} == {"best_fit_packing"}
+    assert pieces(out) == pieces(docs)
 
 
 @pytest.mark.parametrize("name", entry.QUERIES)
