@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.codec import bloom_bits, entry_size, hash_functions
+from ..plans.asof import asof
 from ..plans.prefix import running_sum
 
 
@@ -72,15 +73,10 @@ def bloom_sizing(versions: DataFrame, run: str = "run_id", false_positives: floa
     return counted.select(run, "n_entries", bloom_bits(F.col("n_entries"), false_positives).alias("n_bits"), F.lit(hash_functions(false_positives)).alias("n_hash"))
 
 
-def conflicting_txns(reads: DataFrame, commits: DataFrame) -> DataFrame:
+def conflicting_txns(reads: DataFrame, commits: DataFrame, time_buckets: int = 1) -> DataFrame:
     """Transactions (txn_id, begin_ts, end_ts, raw_key) that read a key committed after begin_ts and up to end_ts.
 
-    Reads and commits of a key are merged in time order and the last commit is carried forward, so a hot key costs a
-    sort, not the product of its reads and commits.
+    It is enough to look at the last commit of the key up to end_ts.
     """
-    r = reads.select("raw_key", F.col("end_ts").alias("_ts"), F.lit(1).alias("_read"), F.lit(None).cast("long").alias("_commit"), "txn_id", "begin_ts")
-    c = commits.select("raw_key", F.col("commit_ts").alias("_ts"), F.lit(0).alias("_read"), F.col("commit_ts").alias("_commit"),
-                       F.lit(None).cast(reads.schema["txn_id"].dataType).alias("txn_id"), F.lit(None).cast("long").alias("begin_ts"))
-    w = Window.partitionBy("raw_key").orderBy("_ts", "_read").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = r.unionByName(c).withColumn("_last", F.last("_commit", ignorenulls=True).over(w))
-    return seen.where("_read = 1 and _last > begin_ts").select("txn_id").distinct()
+    found = asof(reads, commits, "raw_key", F.col("end_ts"), F.col("commit_ts"), F.col("commit_ts"), None, time_buckets)
+    return found.where(F.col("at") > F.col("row.begin_ts")).select("row.txn_id").distinct()

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.codec import in_range, is_tombstone, visible
+from ..plans.asof import asof
 from ..plans.prefix import running_sum
 
 
@@ -38,22 +39,16 @@ def get(versions: DataFrame, key, at: int | None = None) -> DataFrame:
     return own.orderBy(*_newest_first(versions)).limit(1).where(~is_tombstone(F.col("value")))
 
 
-def multi_get(requests: DataFrame, versions: DataFrame) -> DataFrame:
+def multi_get(requests: DataFrame, versions: DataFrame, time_buckets: int = 1) -> DataFrame:
     """For each request (raw_key, begin_ts) the version it sees: a batch of point reads as one as-of lookup.
 
-    Requests and versions meet in one shuffle by key: versions carry themselves forward over the requests that follow
-    them in time, so no request is paired with all versions of its key.
+    Requests and versions meet in one shuffle by key, and no request is paired with all versions of its key. Raise
+    ``time_buckets`` where one key may hold a large part of all versions.
     """
-    none = lambda of: F.lit(None).cast(of)
-    value = versions.schema["value"].dataType
-    seq = F.col("seq") if "seq" in versions.columns else F.lit(0)
-    v = versions.select("raw_key", F.col("commit_ts").alias("_ts"), F.lit(0).alias("_req"), seq.alias("_seq"), F.struct("commit_ts", "value").alias("_v"), none("long").alias("begin_ts"))
-    empty = F.lit(None).cast(f"struct<commit_ts:bigint,value:{value.simpleString()}>")
+    seq = F.col("seq") if "seq" in versions.columns else None
     r = requests.select("raw_key", "begin_ts").distinct()
-    r = r.select("raw_key", F.col("begin_ts").alias("_ts"), F.lit(1).alias("_req"), F.lit(0).alias("_seq"), empty.alias("_v"), "begin_ts")
-    w = Window.partitionBy("raw_key").orderBy("_ts", "_req", "_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = v.unionByName(r).withColumn("_at", F.last("_v", ignorenulls=True).over(w)).where("_req = 1 and _at is not null")
-    return found.select("raw_key", "begin_ts", "_at.commit_ts", "_at.value").where(~is_tombstone(F.col("value")))
+    found = asof(r, versions, "raw_key", F.col("begin_ts"), F.col("commit_ts"), F.struct("commit_ts", "value"), seq, time_buckets)
+    return found.select("row.raw_key", "row.begin_ts", "at.commit_ts", "at.value").where(~is_tombstone(F.col("value")))
 
 
 def all_versions(versions: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions import codec
 from ..operators import analytics, compaction, reads
 from ..sources.store import Store
 from ..streaming.ingest import ingest, staged
-from .queries import _KV, events, kv
+from .queries import _KV, ORACLE_SQL as CATALOGUE_SQL, events, kv
 
 
 def _root(spark: SparkSession) -> str:
@@ -103,7 +103,14 @@ def staged_batch(spark, d):
     return kv(spark, d).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("run_id", "raw_key", "value")
 
 
+def multi_get_by_time(spark, d):
+    """As Q22, with each key's timeline cut, as for a key that holds a large part of all versions."""
+    req = events(spark, d).where("event_type = 'signup'").select(F.lpad(F.col("user_id").cast("string"), 6, "0").alias("raw_key"), F.col("event_id").alias("begin_ts"))
+    return reads.multi_get(req, kv(spark, d), time_buckets=32)
+
+
 QUERIES = {
+    "B_multi_get_by_time": multi_get_by_time,
     "A_store_lifecycle": store_lifecycle,
     "A_store_snapshot": store_snapshot,
     "A_stream_ingest": stream_ingest,
@@ -132,3 +139,4 @@ ORACLE_SQL = {name: f"WITH {_KV}, {sql}" if sql.startswith("v AS") else f"WITH {
     "P_prefix_scan": f"v AS ({_LATEST} WHERE raw_key LIKE '00001%') SELECT raw_key, commit_ts, value FROM v WHERE rn = 1 AND value <> ''",
     "S_run_id_difference": "SELECT DISTINCT run_id FROM kv WHERE run_id % 3 <> 0",
 }.items()}
+ORACLE_SQL["B_multi_get_by_time"] = CATALOGUE_SQL["Q22_multi_get_asof"]

@@ -2,7 +2,7 @@
 
 from hypothesis import HealthCheck, given, settings, strategies as st
 
-from palimpsest.operators import compaction, reads
+from palimpsest.operators import analytics, compaction, reads
 
 KEYS = ("a", "ab", "b", "c")
 WRITES = st.lists(st.tuples(st.sampled_from(KEYS), st.sampled_from(("", "x", "y"))), min_size=1, max_size=25)
@@ -49,8 +49,19 @@ def test_retention_keeps_every_later_snapshot(spark, writes, data):
 @given(writes=WRITES, asked=st.lists(st.tuples(st.sampled_from(KEYS), st.integers(0, 26)), min_size=1, max_size=10))
 def test_multi_get(spark, writes, asked):
     req = spark.createDataFrame(asked, "raw_key string, begin_ts long")
-    got = {(r["raw_key"], r["begin_ts"]): r["value"] for r in reads.multi_get(req, versions(spark, writes)).collect()}
-    assert got == {(k, t): state(writes, t)[k] for k, t in asked if k in state(writes, t)}
+    for buckets in (1, 5):
+        got = {(r["raw_key"], r["begin_ts"]): r["value"] for r in reads.multi_get(req, versions(spark, writes), buckets).collect()}
+        assert got == {(k, t): state(writes, t)[k] for k, t in asked if k in state(writes, t)}
+
+
+@RELAXED
+@given(writes=WRITES, txns=st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25), st.sampled_from(KEYS)), min_size=1, max_size=10))
+def test_conflicts(spark, writes, txns):
+    rows = [(i, min(a, b), max(a, b), k) for i, (a, b, k) in enumerate(txns)]
+    asked = spark.createDataFrame(rows, "txn_id long, begin_ts long, end_ts long, raw_key string")
+    want = {i for i, a, b, k in rows if any(w == k and a < n <= b for n, (w, _) in enumerate(writes, 1))}
+    for buckets in (1, 5):
+        assert {r["txn_id"] for r in analytics.conflicting_txns(asked, versions(spark, writes), buckets).collect()} == want
 
 
 @RELAXED
