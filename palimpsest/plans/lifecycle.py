@@ -14,9 +14,14 @@ from .queries import _KV, ORACLE_SQL as CATALOGUE_SQL, events, kv
 
 
 def _root(spark: SparkSession) -> str:
-    """A new folder in what driver and executors share."""
+    """A new folder in what driver and executors share; it goes when the application ends."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{at.rstrip('/')}/palimpsest-store/{uuid.uuid4().hex}"
+    root = f"{at.rstrip('/')}/palimpsest-store/{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return root
 
 
 def _writes(spark: SparkSession, d: str) -> DataFrame:
