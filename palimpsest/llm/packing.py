@@ -36,7 +36,8 @@ def encoder(vocab: str):
     """text -> array of ids, for the JSON of a byte-level BPE whose ids rise with its merges.
 
     The ids are those that the tokenizers library gives with that file, but merged by tiktoken, about four times as
-    fast; a probe at the start compares both, and a vocabulary for which they differ is left to tokenizers.
+    fast; a probe at the start compares both, and a vocabulary for which they differ is left to tokenizers. So is any
+    text that tiktoken's regex engine gives up on.
     """
     import tiktoken
     from tokenizers import Tokenizer
@@ -54,7 +55,13 @@ def encoder(vocab: str):
         fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     except (KeyError, ValueError):
         return slow
-    quick = lambda x: fast.encode_to_numpy(x, disallowed_special=())
+
+    def quick(x: str) -> np.ndarray:
+        try:
+            return fast.encode_to_numpy(x, disallowed_special=())
+        except ValueError:  # its regex engine gives up on runs of about a million blanks
+            return slow(x)
+
     probe = "It's 1234 déjà-vu,  ñandú\t\n\n über… 漢字  x <|endoftext|> a_b [42]   "
     return quick if quick(probe).tolist() == slow(probe).tolist() else slow
 

@@ -91,5 +91,15 @@ def test_ids_are_those_of_tokenizers(spark):
         assert ids(x).tolist() == e.ids
 
 
+def test_blanks_beyond_the_quick_regex(spark):
+    vocab = packing.vocabulary(spark, PATH)
+    texts = [" " * 1_100_000, "a" + "\n" * 1_100_000 + "b"]
+    want = [[*e.ids, 0] for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+    packed = packing.pack(spark.createDataFrame(enumerate(texts), "doc_id long, text string"), vocab, keep_ids=True).collect()
+    for i, ids in enumerate(want):
+        parts = [bytes(r["ids"]) for r in sorted(packed, key=lambda r: r["piece"]) if r["doc_id"] == i]
+        assert np.frombuffer(b"".join(parts), "<u4").tolist() == ids
+
+
 def test_empty(spark, empty):
     assert packing.pack(empty, packing.vocabulary(spark, PATH)).count() == 0
