@@ -2,12 +2,14 @@
 
 Training counts cover all training tokens. The commonest words are symbols of their own; all others share symbols by
 their ending, so the table of symbol pairs, counted over all training text, has a fixed size. Exchange clustering on
-that table moves one symbol after another to the class that most raises the likelihood of the class bigrams. A text's
+that table moves one symbol after another to the class that most raises the likelihood of the class bigrams. Then a
+distributed sweep gives each word that has no symbol of its own the class that its own neighbours, counted by class over
+all training text, make likeliest; endings decide only for unseen words. Transitions are counted anew after that. A text's
 probability is the product of class transitions, smoothed towards class frequencies, and word emissions, discounted
 absolutely; what the discount frees is the emission of unseen words. A text's end is a token with a class of its own.
 
-Counts of all words are unbounded, so no task holds them. Texts are dealt to chunks; each chunk's distinct words are
-joined with the counts, and chunk and counts meet again by cogroup.
+Counts and classes of all words are unbounded, so no task holds them. Texts are dealt to chunks; each chunk's distinct
+words are joined with them, and chunk and words meet again by cogroup, which turns each text into a path of classes.
 
 Defined results: a null text is an empty one; a null id counts as the empty string when rows are held out; repeated
 rows are counted and scored each; without training text every score is 0.
@@ -19,10 +21,11 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import arrow_rows, materialize
@@ -35,6 +38,10 @@ SWEEPS = 12
 PRIOR = 4.0
 #: Bytes of text of a chunk, on average; distinct words that a counting task holds before it hands them on.
 CHUNK_BYTES, HELD_WORDS = 12_000_000, 1_000_000
+#: Words and neighbours that a task of the sweep holds before it hands them on.
+SWEPT_WORDS, SWEPT_CELLS = 400_000, 8_000_000
+#: Marks the class of an unseen word in a path.
+UNSEEN = 128
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -102,6 +109,7 @@ class Model:
     total: np.ndarray  # tokens of each class
     discount: float
     unseen: np.ndarray  # log10 emission of an unseen word of each class
+    pairs: np.ndarray  # how often each class follows each
     train_tokens: int
     types: int
 
@@ -183,27 +191,140 @@ def fit(train: DataFrame, counts: DataFrame, classes: int = CLASSES) -> Model:
     of = exchange(pairs, classes, len(pairs) - 1)
     member = np.eye(classes)[of]
     n = member.T @ pairs @ member
-    size, vocabulary = n.sum(0), member.T @ kinds
     discount = ones / (ones + 2 * twos) if ones and twos else 0.5
-    share = (size + 1) / (size.sum() + classes)
+    return Model(own, of, *tables(n, member.T @ kinds, discount), total + texts, types + bool(texts))
+
+
+def tables(n: np.ndarray, vocabulary: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray, float, np.ndarray, np.ndarray]:
+    """transition, total, discount, unseen and pairs of a model. n: class pairs; vocabulary: distinct words of each class."""
+    size = n.sum(0)
+    share = (size + 1) / (size.sum() + len(n))
     with np.errstate(divide="ignore", invalid="ignore"):
         transition = np.log10((n + PRIOR * share) / (n.sum(1, keepdims=True) + PRIOR))
         # a class of no words has its whole mass for unseen ones
         unseen = np.where(vocabulary > 0, np.log10(discount * vocabulary / np.maximum(size, 1)), 0.0)
-    return Model(own, of, transition, size, discount, unseen, total + texts, types + bool(texts))
+    return transition, size, discount, unseen, n
+
+
+def neighbours(train: DataFrame, model: Model) -> DataFrame:
+    """(word, cells) for words without a symbol of their own: a byte for each neighbour, its class, plus the number of classes if it stands before."""
+    classes = len(model.pairs)
+    sent = train.sparkSession.sparkContext.broadcast((list(model.own), model.of))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, of = sent.value
+        first = len(own) + 1  # 0 is a text's end and start
+
+        def fresh() -> tuple[dict[bytes, int], list[int], list[np.ndarray]]:
+            return {w: i + 1 for i, w in enumerate(own)}, [0, *of[: len(own)].tolist()], []
+
+        def out() -> pa.RecordBatch:
+            words = list(place)[len(own):]
+            keys = np.sort(np.concatenate(held)) if held else np.empty(0, np.int64)
+            ends = np.searchsorted(keys, (first + np.arange(len(words) + 1)) * 2 * classes).astype(np.int32)
+            cells = pa.Array.from_buffers(
+                pa.binary(), len(words), [None, pa.py_buffer(ends), pa.py_buffer((keys % (2 * classes)).astype(np.uint8))])
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), cells], ["word", "cells"])
+
+        place, kind, held = fresh()
+        for batch in batches:
+            line = [0]
+            for text in arrow_rows(batch, "text"):
+                for w in tokens(text):
+                    i = place.get(w)
+                    if i is None:
+                        i = place[w] = len(kind)
+                        kind.append(int(of[OWN + shared_symbol(w)]))
+                    line.append(i)
+                line.append(0)
+            ids = np.array(line, np.int64)
+            near = np.array(kind, np.int64)[ids]
+            at = np.flatnonzero(ids >= first)
+            held += [ids[at] * 2 * classes + near[at + 1], ids[at] * 2 * classes + classes + near[at - 1]]
+            if len(place) > SWEPT_WORDS or sum(map(len, held)) > SWEPT_CELLS:
+                yield out()
+                place, kind, held = fresh()
+        yield out()
+
+    return train.select("text").mapInArrow(run, "word string, cells binary")
+
+
+def word_classes(train: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
+    """(word, n, class) of every training word: one sweep in which all words choose against the same class tables."""
+    spark, classes = train.sparkSession, len(model.pairs)
+    share = (model.total + 1) / (model.total.sum() + classes)
+    # the derivative of the likelihood that exchange() raises: log p(next | class) and log p(before | class)
+    after, before = (np.log((n + PRIOR * share) / (n.sum(1, keepdims=True) + PRIOR)) for n in (model.pairs, model.pairs.T))
+    gain = np.concatenate([after.T, before.T])
+    gain[:, 0] = -np.inf
+    sent = spark.sparkContext.broadcast(gain)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gain = sent.value
+        word, seen = None, np.zeros(len(gain), np.int64)  # the last word may go on
+
+        def out(words: pa.Array, seen: np.ndarray) -> pa.RecordBatch:
+            best = np.argmax(seen @ gain[:, 1:], axis=1) + 1
+            return pa.RecordBatch.from_arrays([words.cast(pa.string()), pa.array(seen.sum(1) // 2), pa.array(best.astype(np.int32))], ["word", "n", "class"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words = batch.column(0)
+            new = np.r_[True, pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)]
+            group = np.repeat(np.cumsum(new) - 1, pc.binary_length(batch.column(1)).to_numpy())
+            cells = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8)
+            found = np.bincount(group * len(gain) + cells, minlength=int(new.sum()) * len(gain)).reshape(-1, len(gain))
+            distinct = words.filter(pa.array(new))
+            if word is not None and distinct[0].as_py() == word:
+                found[0] += seen
+            elif word is not None:
+                yield out(pa.array([word]), seen[None])
+            if len(found) > 1:
+                yield out(distinct[:-1], found[:-1])
+            word, seen = distinct[-1].as_py(), found[-1]
+        if word is not None:
+            yield out(pa.array([word]), seen[None])
+
+    rest = neighbours(train, model).repartition("word").sortWithinPartitions("word").mapInArrow(run, "word string, n long, class int")
+    own = spark.createDataFrame([(w.decode(), int(model.of[i])) for w, i in model.own.items()], "word string, class int")
+    return rest.unionAll(counts.join(F.broadcast(own), "word").select("word", "n", "class"))
+
+
+def refit(model: Model, words: DataFrame, coded: DataFrame) -> Model:
+    """The model with the classes of ``words`` (word, n, class); coded: all its training texts by ``code``."""
+    classes = len(model.pairs)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(classes * classes, np.int64)
+        for batch in batches:
+            for path in batch.column(0):
+                line = np.frombuffer(b"\0" + path.as_py() + b"\0", np.uint8).astype(np.int64) % UNSEEN
+                total += np.bincount(line[:-1] * classes + line[1:], minlength=classes * classes)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
 
-def score_texts(texts: list[bytes | None], words: list[bytes], counts: np.ndarray, m: Model) -> tuple[list, list, list, list]:
-    """n_tokens, n_known, base_score and score of each text. words, counts: all training words that the texts have."""
+    n = np.zeros(classes * classes)
+    for r in coded.select("path").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        n[r["cell"]] = r["n"]
+    vocabulary = np.zeros(classes)
+    vocabulary[0] = 1
+    for r in words.groupBy("class").count().collect():
+        vocabulary[r["class"]] = r["count"]
+    transition, total, _, unseen, pairs = tables(n.reshape(classes, classes), vocabulary, model.discount)
+    return replace(model, transition=transition, total=total, unseen=unseen, pairs=pairs)
+
+
+def code_texts(texts: list[bytes | None], words: list[bytes], counts: np.ndarray, kinds: np.ndarray, m: Model) -> tuple[list, ...]:
+    """n_tokens, n_known, base_score, known and path of each text. words, counts, kinds: all training words that the texts have."""
     place = {w: i for i, w in enumerate(words)}
-    symbols = np.fromiter((m.symbol(w) for w in words), np.int64, len(words))
-    unseen = np.arange(OWN, OWN + SHARED)  # after the known words: one entry for the unseen words of each ending
-    of = m.of[np.concatenate([symbols, unseen])].astype(np.int64)
+    # after the known words: one entry for the unseen words of each ending
+    of = np.concatenate([kinds, m.of[OWN : OWN + SHARED] + UNSEEN]).astype(np.uint8)
     floor = math.log10(m.train_tokens + m.types + 1)
     base = np.concatenate([np.log10(counts + 1.0), np.zeros(SHARED)])
-    emission = np.concatenate([np.log10((counts - m.discount) / np.maximum(m.total[of[: len(words)]], 1)), m.unseen[of[len(words):]]])
+    known = np.concatenate([np.log10(counts - m.discount), np.zeros(SHARED)])
     known_end, base_end = int(m.total[0] > 0), math.log10(m.total[0] + 1)
-    out: tuple[list, list, list, list] = ([], [], [], [])
+    out: tuple[list, ...] = ([], [], [], [], [])
     for text in texts:
         own = tokens(text)
         ids = [place.get(w) for w in own]
@@ -211,16 +332,17 @@ def score_texts(texts: list[bytes | None], words: list[bytes], counts: np.ndarra
             if x is None:
                 ids[i] = len(words) + shared_symbol(own[i])
         at = np.array(ids, np.int64)
-        path = np.concatenate([[0], of[at], [0]])
-        logs = m.transition[path[:-1], path[1:]].sum() + emission[at].sum()
         for x, v in zip(out, (len(own) + 1, int((at < len(words)).sum()) + known_end,
-                              float(base[at].sum()) + base_end - (len(own) + 1) * floor, float(logs) if m.train_tokens else 0.0)):
+                              float(base[at].sum()) + base_end - (len(own) + 1) * floor, float(known[at].sum()), of[at].tobytes())):
             x.append(v)
     return out
 
 
-def score(docs: DataFrame, counts: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``."""
+def code(docs: DataFrame, words: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(doc_id, n_tokens, n_known, base_score, known, path) for each row of ``docs``. words: (word, n[, class]), else the class of the word's symbol.
+
+    path: a byte for each token, its class, marked if unseen; known: sum of log10 of the known tokens' discounted counts.
+    """
     total = docs.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 32)).first()[0] or 0
     chunks = max(1, -(-total // chunk_bytes))
     chunk = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).cast("int")
@@ -236,20 +358,52 @@ def score(docs: DataFrame, counts: DataFrame, model: Model, id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(words), pa.int32()), pa.array(list(words), pa.binary()).cast(pa.string())], ["chunk", "word"])
 
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        words = words.combine_chunks()
-        found = score_texts(
-            texts["text"].cast(pa.binary()).to_pylist(), words["word"].cast(pa.binary()).to_pylist(), words["n"].to_numpy(), sent.value)
-        return pa.table([texts["doc_id"], *(pa.array(x, t) for x, t in zip(found, (pa.int64(), pa.int64(), pa.float64(), pa.float64())))],
-                        names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
-
-    words = rows.mapInArrow(distinct, "chunk int, word string").join(counts.select("word", "n"), "word").select("chunk", "word", "n")
-    scored = rows.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+        words, m = words.combine_chunks(), sent.value
+        held = words["word"].cast(pa.binary()).to_pylist()
+        kinds = words["class"].to_numpy() if "class" in words.column_names else m.of[np.fromiter((m.symbol(w) for w in held), np.int64, len(held))]
+        found = code_texts(texts["text"].cast(pa.binary()).to_pylist(), held, words["n"].to_numpy(), kinds, m)
+        types = pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()
+        return pa.table([texts["doc_id"], *(pa.array(x, t) for x, t in zip(found, types))], names=["doc_id", "n_tokens", "n_known", "base_score", "known", "path"])
+
+    columns = [c for c in ("word", "n", "class") if c in words.columns]
+    words = rows.mapInArrow(distinct, "chunk int, word string").join(words.select(columns), "word").select("chunk", *columns)
+    return rows.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(
+        run, "doc_id long, n_tokens long, n_known long, base_score double, known double, path binary")
+
+
+def score_paths(coded: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each row of ``code``."""
+    sent = coded.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        emission = np.zeros(UNSEEN + len(m.pairs))
+        emission[: len(m.pairs)] = -np.log10(np.maximum(m.total, 1))
+        emission[UNSEEN:] = m.unseen
+        for batch in batches:
+            scores = []
+            for known, path in zip(batch.column(4).to_pylist(), batch.column(5)):
+                own = np.frombuffer(path.as_py(), np.uint8)
+                line = np.concatenate([[0], own % UNSEEN, [0]]).astype(np.int64)
+                scores.append(float(m.transition[line[:-1], line[1:]].sum() + emission[own].sum() + known) if m.train_tokens else 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(scores, pa.float64())], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    rows = coded.select("doc_id", "n_tokens", "n_known", "base_score", "known", "path")
+    scored = rows.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(model.train_tokens).cast("long"))
 
 
+def score(docs: DataFrame, words: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """``score_paths`` of the rows of ``docs``; words as for ``code``."""
+    return score_paths(code(docs, words, model, id_col, text_col, chunk_bytes), model)
+
+
 def op4(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = held_out(F.col("doc_id"), 7, 2)
     train = docs.where(~out).select("text")
     counts = materialize(word_counts(train), "word_counts")
-    return score(docs, counts, fit(train, counts)).withColumn("held_out", held_out(F.col("doc_id"), 7, 2))
+    model = fit(train, counts)
+    words = materialize(word_classes(train, counts, model), "word_classes")
+    coded = materialize(code(docs, words, model), "coded_texts")
+    return score_paths(coded, refit(model, words, coded.where(~out))).withColumn("held_out", out)

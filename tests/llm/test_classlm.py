@@ -72,6 +72,37 @@ def test_exchange_raises_likelihood():
     assert len(set(of[:10])) == 1 and len(set(of[10:20])) == 1 and of[0] != of[10] and of[20] == 0
 
 
+def test_words_have_classes_by_their_own_neighbours(spark):
+    rng = random.Random(2)
+    # the commonest words are frames; ten words of each kind end like the words of the other kind
+    left, right = [[f"{k}{i}" for i in range(classlm.OWN // 2)] for k in ("left", "right")]
+    a = [f"a{i}" + ("yyy" if i < 10 else "xxx") for i in range(1280)]
+    b = [f"b{i}" + ("xxx" if i < 10 else "yyy") for i in range(1280)]
+    deal = lambda words: [w for _ in range(2560 // len(words)) for w in rng.sample(words, len(words))]
+    line = [w for four in zip(deal(left), deal(a), deal(right), deal(b)) for w in four]
+    texts = [(i, " ".join(line[128 * i : 128 * i + 128])) for i in range(80)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    counts = classlm.word_counts(docs).cache()
+    seed = classlm.fit(docs, counts, classes=5)
+    assert set(seed.own) == {w.encode() for w in left + right}
+    table = classlm.word_classes(docs, counts, seed).cache()
+    assert sorted((r["word"], r["n"]) for r in table.collect()) == sorted((r["word"], r["n"]) for r in counts.collect())
+    of = {r["word"]: r["class"] for r in table.collect()}
+    assert len({of[w] for w in a}) == len({of[w] for w in b}) == 1 and of[a[0]] != of[b[0]]
+
+    path = [[of[w] for w in t.split()] for _, t in texts]
+    want = Counter(p for x in path for p in zip([0, *x], [*x, 0]))
+    coded = classlm.code(docs, table, seed).cache()
+    assert sorted(bytes(r["path"]) for r in coded.collect()) == sorted(map(bytes, path))
+    m = classlm.refit(seed, table, coded)
+    assert {(i, j): n for (i, j), n in np.ndenumerate(m.pairs) if n} == want
+    n = {r["word"]: r["n"] for r in counts.collect()}
+    scores = {r["doc_id"]: r["score"] for r in classlm.score_paths(coded, m).collect()}
+    for (i, t), x in zip(texts, path):
+        logs = sum(m.transition[p] for p in zip([0, *x], [*x, 0])) + sum(math.log10((n[w] - m.discount) / m.total[of[w]]) for w in t.split())
+        assert math.isclose(scores[i], logs, rel_tol=1e-9)
+
+
 def test_empty(empty, docs, rows):
     counted = classlm.word_counts(empty).cache()
     m = classlm.fit(empty, counted)
