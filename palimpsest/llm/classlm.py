@@ -2,14 +2,17 @@
 
 Training counts cover all training tokens. The commonest words are symbols of their own; all others share symbols by
 their ending, so the table of symbol pairs, counted over all training text, has a fixed size. Exchange clustering on
-that table moves one symbol after another to the class that most raises the likelihood of the class bigrams. Then a
-distributed sweep gives each word that has no symbol of its own the class that its own neighbours, counted by class over
-all training text, make likeliest; endings decide only for unseen words. Transitions are counted anew after that. A text's
-probability is the product of class transitions, smoothed towards class frequencies, and word emissions, discounted
-absolutely; what the discount frees is the emission of unseen words. A text's end is a token with a class of its own.
-
-Counts and classes of all words are unbounded, so no task holds them. Texts are dealt to chunks; each chunk's distinct
-words are joined with them, and chunk and words meet again by cogroup, which turns each text into a path of classes.
+that table moves one symbol after another to the class that most raises the likelihood of the class bigrams. Then
+distributed sweeps move every word without a symbol of its own, however rare, to the class that its own neighbours,
+counted by class over all training text, make likeliest; all words of a sweep choose against the same class tables, which
+are counted anew before the next. Endings decide only for unseen words. A text's probability is the product of class
+transitions, smoothed towards class frequencies, and word emissions, discounted absolutely; what the discount frees is
+spread evenly over the class's unseen words, whose number is estimated from its words seen once and twice (Chao). A text's end is
+a token with a class of its own.
+
+Counts and classes of all words are unbounded, so no task holds them. Texts are numbered once, by chunks: a chunk is a
+run of texts of one task, with a list of its own words. Each pass joins the lists with the words' classes and brings
+lists and numbered texts of a chunk together again; a task streams over its chunks and holds the word list of one.
 
 Defined results: a null text is an empty one; a null id counts as the empty string when rows are held out; repeated
 rows are counted and scored each; without training text every score is 0.
@@ -19,16 +22,16 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import arrow_rows, materialize
+from .common import materialize
 
 #: Words that are symbols of their own; symbols that all other words share by their last bytes; bytes of an ending.
 OWN, SHARED, ENDING = 640, 192, 3
@@ -36,16 +39,36 @@ CLASSES = 56
 SWEEPS = 12
 #: Weight of the class frequencies in the transitions.
 PRIOR = 4.0
-#: Bytes of text of a chunk, on average; distinct words that a counting task holds before it hands them on.
-CHUNK_BYTES, HELD_WORDS = 12_000_000, 1_000_000
-#: Words and neighbours that a task of the sweep holds before it hands them on.
-SWEPT_WORDS, SWEPT_CELLS = 400_000, 8_000_000
+#: Sweeps over the words without a symbol of their own.
+WORD_SWEEPS = 2
+#: Bytes of text of a chunk, but for a longer single text; bytes that are split into words at once.
+CHUNK_BYTES, SLICE_BYTES = 12_000_000, 4_000_000
+#: Neighbours that a task of a sweep holds before it hands them on.
+SWEPT_CELLS = 4_000_000
 #: Marks the class of an unseen word in a path.
 UNSEEN = 128
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The text (its place) and the word (its place in the list) of each token of ``texts``, and the list of words."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    sizes, coded = pc.list_value_length(lists).to_numpy(), lists.flatten().dictionary_encode()
+    row, word, words = np.repeat(np.arange(len(texts)), sizes), coded.indices.to_numpy(), coded.dictionary
+    blank = pc.index(words, "").as_py()  # what stands before a leading gap
+    if blank >= 0:
+        keep = word != blank
+        row, word = row[keep], word[keep]
+        word, words = word - (word > blank), pa.concat_arrays([words[:blank], words[blank + 1:]])
+    return row, word, words
+
+
+def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about SLICE_BYTES of text."""
+    part = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
 
 
 def shared_symbol(word: bytes) -> int:
@@ -108,7 +131,8 @@ class Model:
     transition: np.ndarray  # log10 p(class | class before)
     total: np.ndarray  # tokens of each class
     discount: float
-    unseen: np.ndarray  # log10 emission of an unseen word of each class
+    unseen: np.ndarray  # log10 emission of one unseen word of each class
+    unseen_words: np.ndarray  # estimate of the unseen words of each class
     pairs: np.ndarray  # how often each class follows each
     train_tokens: int
     types: int
@@ -118,29 +142,62 @@ class Model:
         return OWN + shared_symbol(word) if s is None else s
 
 
+def symbol_class(word: Column, model: Model) -> Column:
+    """The class of the symbol that words without one of their own share."""
+    symbol = F.crc32(F.substring(word.cast("binary"), -ENDING, ENDING)) % SHARED
+    return F.get(F.lit(model.of[OWN : OWN + SHARED].tolist()), symbol.cast("int")).cast("int")
+
+
 def held_out(id_col: Column, parts: int, part: int) -> Column:
     """Whether crc32(id as text) mod parts is part."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % parts == part
 
 
-def word_counts(train: DataFrame) -> DataFrame:
-    """(word, ending, n) over all texts (column text)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(held: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([
-                pa.array(list(held), pa.binary()).cast(pa.string()), pa.array([shared_symbol(w) for w in held], pa.int32()),
-                pa.array(list(held.values()), pa.int64())], ["word", "ending", "n"])
+def encode(docs: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Numbered texts and word lists of chunks, written once.
+
+    A row for each word of a chunk (chunk, pos, word, n: how often its training rows have it) and one for each text
+    (chunk, doc_id, train, ids: its words' pos as 32-bit integers); the others' columns are null. train: which rows count; all if None.
+    """
+    mark = F.lit(True) if train is None else F.coalesce(train, F.lit(False))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), mark.alias("train"), F.col(text_col).alias("text"))
+    names = ["chunk", "pos", "word", "n", "doc_id", "train", "ids"]
+    types = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
 
-        held: Counter = Counter()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 24
+
+        def out(held: list) -> Iterator[pa.RecordBatch]:
+            coded = pa.chunked_array([pa.DictionaryArray.from_arrays(pa.array(word, pa.int32()), words) for _, _, word, words in held]).unify_dictionaries()
+            words, n = coded.chunk(0).dictionary, 0
+            for (part, row, _, _), x in zip(held, coded.chunks):
+                n = n + np.bincount(x.indices.to_numpy()[part.column(1).to_numpy(zero_copy_only=False)[row]], minlength=len(words))
+            made = lambda size, **own: pa.RecordBatch.from_arrays([own.get(c, pa.nulls(size, t)) for c, t in zip(names, types)], names)
+            yield made(len(words), chunk=pa.array(np.full(len(words), number)), pos=pa.array(np.arange(len(words), dtype=np.int32)), word=words, n=pa.array(n.astype(np.int64)))
+            for (part, row, _, _), x in zip(held, coded.chunks):
+                ends = np.r_[0, np.cumsum(np.bincount(row, minlength=len(part)))] * 4
+                ids = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(x.indices.to_numpy().astype("<i4"))])
+                yield made(len(part), chunk=pa.array(np.full(len(part), number)), doc_id=part.column(0), train=part.column(1), ids=ids)
+
+        held, size = [], 0
         for batch in batches:
-            for text in arrow_rows(batch, "text"):
-                held.update(tokens(text))
-                if len(held) > HELD_WORDS:
-                    yield out(held)
-                    held = Counter()
-        yield out(held)
+            for part in slices(batch):
+                held.append((part, *split_words(part.column(2))))
+                size += part.column(2).nbytes
+                if size >= chunk_bytes:
+                    yield from out(held)
+                    held, size, number = [], 0, number + 1
+        if held:
+            yield from out(held)
 
-    return train.select("text").mapInArrow(run, "word string, ending int, n long").groupBy("word", "ending").agg(F.sum("n").alias("n"))
+    return materialize(rows.mapInArrow(run, "chunk long, pos int, word string, n long, doc_id long, train boolean, ids binary"), "encoded_texts")
+
+
+def word_counts(train: DataFrame, encoded: DataFrame | None = None) -> DataFrame:
+    """(word, ending, n) over all texts (column text); encoded: of ``encode``, instead of them, its training rows."""
+    encoded = encode(train.select(F.lit(None).cast("long").alias("doc_id"), "text")) if encoded is None else encoded
+    ending = (F.crc32(F.substring(F.col("word").cast("binary"), -ENDING, ENDING)) % SHARED).cast("int")
+    return encoded.where("n > 0").groupBy("word").agg(F.sum("n").alias("n")).select("word", ending.alias("ending"), "n")
 
 
 def symbol_pairs(train: DataFrame, own: dict[bytes, int]) -> np.ndarray:
@@ -149,20 +206,13 @@ def symbol_pairs(train: DataFrame, own: dict[bytes, int]) -> np.ndarray:
     sent = train.sparkSession.sparkContext.broadcast(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, total, memo = sent.value, np.zeros(size * size, np.int64), {}
+        own, total = sent.value, np.zeros(size * size, np.int64)
         for batch in batches:
-            seqs = []
-            for text in arrow_rows(batch, "text"):
-                words = tokens(text)
-                seq = [own.get(w) if w in own else memo.get(w) for w in words]
-                for i, s in enumerate(seq):
-                    if s is None:
-                        seq[i] = memo[words[i]] = OWN + shared_symbol(words[i])
-                seqs += [np.array(seq, np.int64), [size - 1]]
-                if len(memo) > HELD_WORDS:
-                    memo = {}
-            if seqs:
-                line = np.concatenate([[size - 1], *seqs]).astype(np.int64)
+            for part in slices(batch):
+                row, word, words = split_words(part.column(0))
+                kind = np.fromiter((OWN + shared_symbol(w) if (s := own.get(w)) is None else s for w in words.cast(pa.binary()).to_pylist()), np.int64, len(words))
+                line = np.full(len(row) + len(part) + 1, size - 1)
+                line[np.arange(len(row)) + row + 1] = kind[word] if len(row) else 0
                 total += np.bincount(line[:-1] * size + line[1:], minlength=size * size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
@@ -174,98 +224,165 @@ def symbol_pairs(train: DataFrame, own: dict[bytes, int]) -> np.ndarray:
     return out.reshape(size, size)
 
 
+def _seen(counts: DataFrame, by: str) -> list:
+    """(by, distinct words, of them seen once, seen twice)"""
+    return counts.groupBy(by).agg(F.count("*"), F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))).collect()
+
+
 def fit(train: DataFrame, counts: DataFrame, classes: int = CLASSES) -> Model:
     """The model of all texts of ``train``, whose word counts are ``counts``."""
     texts = train.count()
     first = counts.orderBy(F.desc("n"), "word").limit(OWN).collect()
     own = {r["word"].encode(): i for i, r in enumerate(first)}
-    types, total, ones, twos = (x or 0 for x in counts.agg(
-        F.count("*"), F.sum("n"), F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))).first())
-    kinds = np.zeros(OWN + SHARED + 1, np.int64)  # distinct words of each symbol
-    for r in counts.groupBy("ending").count().collect():
-        kinds[OWN + r["ending"]] = r["count"]
-    for r in first:
-        kinds[OWN + r["ending"]] -= 1
-    kinds[: len(own)] = 1
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    seen = np.zeros((OWN + SHARED + 1, 3), np.int64)  # distinct words of each symbol, seen once, seen twice
+    for r in _seen(counts, "ending"):
+        seen[OWN + r[0]] = r[1:]
+    types, ones, twos = seen.sum(0).tolist()
+    for i, r in enumerate(first):
+        seen[i] = 1, r["n"] == 1, r["n"] == 2
+        seen[OWN + r["ending"]] -= seen[i]
     pairs = symbol_pairs(train, own)
     of = exchange(pairs, classes, len(pairs) - 1)
     member = np.eye(classes)[of]
     n = member.T @ pairs @ member
     discount = ones / (ones + 2 * twos) if ones and twos else 0.5
-    return Model(own, of, *tables(n, member.T @ kinds, discount), total + texts, types + bool(texts))
+    return Model(own, of, *tables(n, member.T @ seen, discount), total + texts, types + bool(texts))
 
 
-def tables(n: np.ndarray, vocabulary: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray, float, np.ndarray, np.ndarray]:
-    """transition, total, discount, unseen and pairs of a model. n: class pairs; vocabulary: distinct words of each class."""
+def tables(n: np.ndarray, seen: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray, float, np.ndarray, np.ndarray, np.ndarray]:
+    """transition, total, discount, unseen, unseen_words and pairs of a model. n: class pairs; seen: distinct words of each class, seen once, seen twice."""
     size = n.sum(0)
     share = (size + 1) / (size.sum() + len(n))
+    words, ones, twos = seen.T
+    unseen_words = np.maximum(1, ones * (ones - 1) / (2 * (twos + 1)))
     with np.errstate(divide="ignore", invalid="ignore"):
         transition = np.log10((n + PRIOR * share) / (n.sum(1, keepdims=True) + PRIOR))
         # a class of no words has its whole mass for unseen ones
-        unseen = np.where(vocabulary > 0, np.log10(discount * vocabulary / np.maximum(size, 1)), 0.0)
-    return transition, size, discount, unseen, n
+        unseen = np.where(words > 0, np.log10(discount * words / np.maximum(size, 1)), 0.0) - np.log10(unseen_words)
+    return transition, size, discount, unseen, unseen_words, n
+
+
+def _meet(encoded: DataFrame, lists: DataFrame, texts: Column | None = None) -> DataFrame:
+    """Word lists (chunk, pos, word, n, class, moves) and numbered texts of each chunk in one task, the list first."""
+    none = lambda **types: [F.lit(None).cast(t).alias(c) for c, t in types.items()]
+    words = lists.select((F.col("chunk") * 2).alias("at"), "pos", "word", "n", "class", "moves", *none(doc_id="long", ids="binary"))
+    rows = encoded.where(F.col("ids").isNotNull()).where(F.lit(True) if texts is None else texts).select(
+        (F.col("chunk") * 2 + 1).alias("at"), *none(**{"pos": "int", "word": "string", "n": "long", "class": "int", "moves": "boolean"}), "doc_id", "ids")
+    return words.unionAll(rows).withColumn("chunk", F.shiftright("at", 1)).repartition("chunk").sortWithinPartitions("at").drop("chunk")
+
+
+class _Words:
+    """The word list of a chunk as arrays by pos."""
+
+    def __init__(self, parts: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(parts) if parts else None
+        pos = table["pos"].to_numpy() if parts else np.empty(0, np.int64)
+        size = int(pos.max()) + 1 if len(pos) else 0
+        self.kind, self.n, self.moves, self.place = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size, bool), np.zeros(size, np.int64)
+        if size:
+            self.kind[pos], self.moves[pos], self.place[pos] = table["class"].to_numpy(), table["moves"].to_numpy(), np.arange(len(pos))
+            self.n[pos] = pc.fill_null(table["n"], 0).to_numpy()
+        self.word = table["word"] if parts else None
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Words, pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """For parts of the texts of one chunk: its word list, the rows, the text (its place) and the word (pos) of each token."""
+    held, now, words = [], None, None
+    for batch in batches:
+        at = batch.column(0).to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+        for a, b in zip(edges, edges[1:]):
+            if b == a:
+                continue
+            if at[a] >> 1 != now:
+                held, now, words = [], at[a] >> 1, None
+            part = batch.slice(a, b - a)
+            if at[a] % 2 == 0:
+                held.append(part)
+                continue
+            words = words or _Words(held)
+            held = []
+            ids = part.column(part.schema.get_field_index("ids")).cast(pa.binary())
+            ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+            own = np.frombuffer(ids.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view("<i4")
+            yield words, part, np.repeat(np.arange(len(ids)), np.diff(ends) // 4), own
 
 
-def neighbours(train: DataFrame, model: Model) -> DataFrame:
-    """(word, cells) for words without a symbol of their own: a byte for each neighbour, its class, plus the number of classes if it stands before."""
-    classes = len(model.pairs)
-    sent = train.sparkSession.sparkContext.broadcast((list(model.own), model.of))
+def _line(kinds: np.ndarray, row: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of all tokens with 0 before and after each text, and where in it the tokens stand."""
+    line, at = np.zeros(len(row) + texts + 1, np.int64), np.arange(len(row)) + row + 1
+    line[at] = kinds
+    return line, at
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, of = sent.value
-        first = len(own) + 1  # 0 is a text's end and start
 
-        def fresh() -> tuple[dict[bytes, int], list[int], list[np.ndarray]]:
-            return {w: i + 1 for i, w in enumerate(own)}, [0, *of[: len(own)].tolist()], []
+def neighbours(encoded: DataFrame, words: DataFrame, classes: int, texts: Column | None = None) -> DataFrame:
+    """(word, cells, counts): for parts of the texts how often each word that moves has each neighbour class (a byte; plus the
+    number of classes if it stands before); and, with a null word, in counts, how often each class follows each. words: (word, class, moves)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, held, last = np.zeros(classes * classes, np.int64), [], None
 
         def out() -> pa.RecordBatch:
-            words = list(place)[len(own):]
-            keys = np.sort(np.concatenate(held)) if held else np.empty(0, np.int64)
-            ends = np.searchsorted(keys, (first + np.arange(len(words) + 1)) * 2 * classes).astype(np.int32)
-            cells = pa.Array.from_buffers(
-                pa.binary(), len(words), [None, pa.py_buffer(ends), pa.py_buffer((keys % (2 * classes)).astype(np.uint8))])
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), cells], ["word", "cells"])
-
-        place, kind, held = fresh()
-        for batch in batches:
-            line = [0]
-            for text in arrow_rows(batch, "text"):
-                for w in tokens(text):
-                    i = place.get(w)
-                    if i is None:
-                        i = place[w] = len(kind)
-                        kind.append(int(of[OWN + shared_symbol(w)]))
-                    line.append(i)
-                line.append(0)
-            ids = np.array(line, np.int64)
-            near = np.array(kind, np.int64)[ids]
-            at = np.flatnonzero(ids >= first)
-            held += [ids[at] * 2 * classes + near[at + 1], ids[at] * 2 * classes + classes + near[at - 1]]
-            if len(place) > SWEPT_WORDS or sum(map(len, held)) > SWEPT_CELLS:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            pos, new = np.unique(keys // (2 * classes), return_index=True)
+            ends = np.r_[new, len(keys)].astype(np.int32)
+            binary = lambda x, size: pa.Array.from_buffers(pa.binary(), len(pos), [None, pa.py_buffer(ends * np.int32(size)), pa.py_buffer(x)])
+            word = last.word.take(pa.array(last.place[pos])).combine_chunks()
+            return pa.RecordBatch.from_arrays([word, binary((keys % (2 * classes)).astype(np.uint8), 1), binary(n.astype("<i4"), 4)], ["word", "cells", "counts"])
+
+        for own, part, row, word in _chunks(batches):
+            if held and (own is not last or sum(map(len, held)) > SWEPT_CELLS):
                 yield out()
-                place, kind, held = fresh()
-        yield out()
+                held = []
+            last = own
+            line, at = _line(own.kind[word], row, len(part))
+            pairs += np.bincount(line[:-1] * classes + line[1:], minlength=len(pairs))
+            moves = own.moves[word]
+            at, word = at[moves], word[moves].astype(np.int64)
+            if len(word):
+                held += [word * 2 * classes + line[at + 1], word * 2 * classes + classes + line[at - 1]]
+        if held:
+            yield out()
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.binary()), pa.array([pairs.astype("<i8").tobytes()])], ["word", "cells", "counts"])
+
+    lists = encoded.where("n > 0").select("chunk", "pos", "word").join(words.select("word", "class", "moves"), "word").withColumn("n", F.lit(None).cast("long"))
+    found = _meet(encoded, lists, texts).mapInArrow(run, "word string, cells binary, counts binary")
+    return materialize(found, "neighbours")
+
+
+def class_pairs(parts: DataFrame, classes: int) -> np.ndarray:
+    """The sum of the tables (column counts) in ``parts``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(classes * classes, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                total += np.frombuffer(x.as_py(), "<i8")
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
 
-    return train.select("text").mapInArrow(run, "word string, cells binary")
+    out = np.zeros(classes * classes)
+    for r in parts.select("counts").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        out[r["cell"]] = r["n"]
+    return out.reshape(classes, classes)
 
 
-def word_classes(train: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
-    """(word, n, class) of every training word: one sweep in which all words choose against the same class tables."""
-    spark, classes = train.sparkSession, len(model.pairs)
-    share = (model.total + 1) / (model.total.sum() + classes)
+def best_classes(near: DataFrame, pairs: np.ndarray) -> DataFrame:
+    """(word, n, class) of each word of ``neighbours``: the class that its neighbours make likeliest. pairs: how often each class follows each."""
+    classes, size = len(pairs), pairs.sum(0)
+    share = (size + 1) / (size.sum() + classes)
     # the derivative of the likelihood that exchange() raises: log p(next | class) and log p(before | class)
-    after, before = (np.log((n + PRIOR * share) / (n.sum(1, keepdims=True) + PRIOR)) for n in (model.pairs, model.pairs.T))
+    after, before = (np.log((n + PRIOR * share) / (n.sum(1, keepdims=True) + PRIOR)) for n in (pairs, pairs.T))
     gain = np.concatenate([after.T, before.T])
     gain[:, 0] = -np.inf
-    sent = spark.sparkContext.broadcast(gain)
+    sent = near.sparkSession.sparkContext.broadcast(gain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gain = sent.value
-        word, seen = None, np.zeros(len(gain), np.int64)  # the last word may go on
+        word, seen = None, np.zeros(len(gain))  # the last word may go on
 
         def out(words: pa.Array, seen: np.ndarray) -> pa.RecordBatch:
             best = np.argmax(seen @ gain[:, 1:], axis=1) + 1
-            return pa.RecordBatch.from_arrays([words.cast(pa.string()), pa.array(seen.sum(1) // 2), pa.array(best.astype(np.int32))], ["word", "n", "class"])
+            return pa.RecordBatch.from_arrays([words.cast(pa.string()), pa.array(seen.sum(1).astype(np.int64) // 2), pa.array(best.astype(np.int32))], ["word", "n", "class"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -273,8 +390,8 @@ def word_classes(train: DataFrame, counts: DataFrame, model: Model) -> DataFrame
             words = batch.column(0)
             new = np.r_[True, pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)]
             group = np.repeat(np.cumsum(new) - 1, pc.binary_length(batch.column(1)).to_numpy())
-            cells = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8)
-            found = np.bincount(group * len(gain) + cells, minlength=int(new.sum()) * len(gain)).reshape(-1, len(gain))
+            cells, counts = (np.frombuffer(b"".join(batch.column(i).to_pylist()), t) for i, t in ((1, np.uint8), (2, "<i4")))
+            found = np.bincount(group * len(gain) + cells, counts, minlength=int(new.sum()) * len(gain)).reshape(-1, len(gain))
             distinct = words.filter(pa.array(new))
             if word is not None and distinct[0].as_py() == word:
                 found[0] += seen
@@ -286,9 +403,22 @@ def word_classes(train: DataFrame, counts: DataFrame, model: Model) -> DataFrame
         if word is not None:
             yield out(pa.array([word]), seen[None])
 
-    rest = neighbours(train, model).repartition("word").sortWithinPartitions("word").mapInArrow(run, "word string, n long, class int")
-    own = spark.createDataFrame([(w.decode(), int(model.of[i])) for w, i in model.own.items()], "word string, class int")
-    return rest.unionAll(counts.join(F.broadcast(own), "word").select("word", "n", "class"))
+    return near.where("word is not null").repartition("word").sortWithinPartitions("word").mapInArrow(run, "word string, n long, class int")
+
+
+def word_classes(train: DataFrame, counts: DataFrame, model: Model, encoded: DataFrame | None = None, texts: Column | None = None, sweeps: int = WORD_SWEEPS) -> DataFrame:
+    """(word, n, class) of every training word. encoded, texts: of ``encode``, and which of its texts are training texts."""
+    spark, classes = train.sparkSession, len(model.pairs)
+    encoded = encode(train.select(F.lit(None).cast("long").alias("doc_id"), "text")) if encoded is None else encoded
+    own = spark.createDataFrame([(w.decode(), int(model.of[i])) for w, i in model.own.items()], "word string, own int")
+    fixed = counts.join(F.broadcast(own), "word").select("word", "n", F.col("own").alias("class"))
+    table = counts.join(F.broadcast(own), "word", "left").select("word", "n", F.coalesce("own", symbol_class(F.col("word"), model)).alias("class"), F.col("own").isNull().alias("moves"))
+    for _ in range(sweeps):
+        near = neighbours(encoded, table, classes, texts)
+        pairs = class_pairs(near.where("word is null"), classes)
+        moved = best_classes(near, pairs).withColumn("moves", F.lit(True))
+        table = materialize(moved.unionAll(fixed.withColumn("moves", F.lit(False))), "word_classes")
+    return table.select("word", "n", "class")
 
 
 def refit(model: Model, words: DataFrame, coded: DataFrame) -> Model:
@@ -298,77 +428,49 @@ def refit(model: Model, words: DataFrame, coded: DataFrame) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(classes * classes, np.int64)
         for batch in batches:
-            for path in batch.column(0):
-                line = np.frombuffer(b"\0" + path.as_py() + b"\0", np.uint8).astype(np.int64) % UNSEEN
-                total += np.bincount(line[:-1] * classes + line[1:], minlength=classes * classes)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
+            line = np.frombuffer(b"\0" + b"".join(x + b"\0" for x in batch.column(0).to_pylist()), np.uint8).astype(np.int64) % UNSEEN
+            total += np.bincount(line[:-1] * classes + line[1:], minlength=classes * classes)
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype("<i8").tobytes()])], ["counts"])
+
+    n = class_pairs(coded.select("path").mapInArrow(run, "counts binary"), classes)
+    seen = np.zeros((classes, 3))
+    seen[0] = 1, 0, 0
+    for r in _seen(words, "class"):
+        seen[r[0]] = r[1:]
+    transition, total, _, unseen, unseen_words, pairs = tables(n, seen, model.discount)
+    return replace(model, transition=transition, total=total, unseen=unseen, unseen_words=unseen_words, pairs=pairs)
 
-    n = np.zeros(classes * classes)
-    for r in coded.select("path").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        n[r["cell"]] = r["n"]
-    vocabulary = np.zeros(classes)
-    vocabulary[0] = 1
-    for r in words.groupBy("class").count().collect():
-        vocabulary[r["class"]] = r["count"]
-    transition, total, _, unseen, pairs = tables(n.reshape(classes, classes), vocabulary, model.discount)
-    return replace(model, transition=transition, total=total, unseen=unseen, pairs=pairs)
-
-
-def code_texts(texts: list[bytes | None], words: list[bytes], counts: np.ndarray, kinds: np.ndarray, m: Model) -> tuple[list, ...]:
-    """n_tokens, n_known, base_score, known and path of each text. words, counts, kinds: all training words that the texts have."""
-    place = {w: i for i, w in enumerate(words)}
-    # after the known words: one entry for the unseen words of each ending
-    of = np.concatenate([kinds, m.of[OWN : OWN + SHARED] + UNSEEN]).astype(np.uint8)
-    floor = math.log10(m.train_tokens + m.types + 1)
-    base = np.concatenate([np.log10(counts + 1.0), np.zeros(SHARED)])
-    known = np.concatenate([np.log10(counts - m.discount), np.zeros(SHARED)])
-    known_end, base_end = int(m.total[0] > 0), math.log10(m.total[0] + 1)
-    out: tuple[list, ...] = ([], [], [], [], [])
-    for text in texts:
-        own = tokens(text)
-        ids = [place.get(w) for w in own]
-        for i, x in enumerate(ids):
-            if x is None:
-                ids[i] = len(words) + shared_symbol(own[i])
-        at = np.array(ids, np.int64)
-        for x, v in zip(out, (len(own) + 1, int((at < len(words)).sum()) + known_end,
-                              float(base[at].sum()) + base_end - (len(own) + 1) * floor, float(known[at].sum()), of[at].tobytes())):
-            x.append(v)
-    return out
-
-
-def code(docs: DataFrame, words: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+
+def code(docs: DataFrame, words: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, encoded: DataFrame | None = None) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, known, path) for each row of ``docs``. words: (word, n[, class]), else the class of the word's symbol.
 
     path: a byte for each token, its class, marked if unseen; known: sum of log10 of the known tokens' discounted counts.
+    encoded: of ``encode``, instead of ``docs``.
     """
-    total = docs.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 32)).first()[0] or 0
-    chunks = max(1, -(-total // chunk_bytes))
-    chunk = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).cast("int")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("chunk", chunk).repartition(chunks, "chunk")
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, set[bytes]] = {}
-        for batch in batches:
-            for k, text in zip(batch.column(batch.schema.get_field_index("chunk")).to_pylist(), arrow_rows(batch, "text")):
-                held.setdefault(k, set()).update(tokens(text))
-        for k, words in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(words), pa.int32()), pa.array(list(words), pa.binary()).cast(pa.string())], ["chunk", "word"])
+    encoded = encode(docs, None, id_col, text_col, chunk_bytes) if encoded is None else encoded
+    shared = symbol_class(F.col("word"), model)
+    if "class" not in words.columns:
+        own = docs.sparkSession.createDataFrame([(w.decode(), int(model.of[i])) for w, i in model.own.items()], "word string, own int")
+        words = words.join(F.broadcast(own), "word", "left").select("word", "n", F.coalesce("own", shared).alias("class"))
+    ends, discount, floor = float(model.total[0]), model.discount, math.log10(model.train_tokens + model.types + 1)
 
-    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        words, m = words.combine_chunks(), sent.value
-        held = words["word"].cast(pa.binary()).to_pylist()
-        kinds = words["class"].to_numpy() if "class" in words.column_names else m.of[np.fromiter((m.symbol(w) for w in held), np.int64, len(held))]
-        found = code_texts(texts["text"].cast(pa.binary()).to_pylist(), held, words["n"].to_numpy(), kinds, m)
-        types = pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()
-        return pa.table([texts["doc_id"], *(pa.array(x, t) for x, t in zip(found, types))], names=["doc_id", "n_tokens", "n_known", "base_score", "known", "path"])
-
-    columns = [c for c in ("word", "n", "class") if c in words.columns]
-    words = rows.mapInArrow(distinct, "chunk int, word string").join(words.select(columns), "word").select("chunk", *columns)
-    return rows.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(
-        run, "doc_id long, n_tokens long, n_known long, base_score double, known double, path binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for own, part, row, word in _chunks(batches):
+            if own is not last:
+                last, base = own, np.log10(own.n + 1.0)
+                known = np.where(own.n > 0, np.log10(np.maximum(own.n - discount, 1e-300)), 0.0)
+            total = lambda x: np.bincount(row, x[word], len(part))
+            sizes = np.bincount(row, minlength=len(part))
+            path = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.py_buffer(own.kind[word].astype(np.uint8))])
+            yield pa.RecordBatch.from_arrays([
+                part.column(part.schema.get_field_index("doc_id")), pa.array(sizes + 1), pa.array(total((own.n > 0).astype(float)).astype(np.int64) + int(ends > 0)),
+                pa.array(total(base) + math.log10(ends + 1) - (sizes + 1) * floor), pa.array(total(known)), path],
+                ["doc_id", "n_tokens", "n_known", "base_score", "known", "path"])
+
+    lists = encoded.where(F.col("word").isNotNull()).select("chunk", "pos", "word").join(words.select("word", "n", "class"), "word", "left")
+    lists = lists.withColumn("class", F.coalesce("class", shared + UNSEEN)).withColumn("word", F.lit(None).cast("string")).withColumn("moves", F.lit(False))
+    return _meet(encoded, lists).mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, known double, path binary")
 
 
 def score_paths(coded: DataFrame, model: Model) -> DataFrame:
@@ -381,12 +483,12 @@ def score_paths(coded: DataFrame, model: Model) -> DataFrame:
         emission[: len(m.pairs)] = -np.log10(np.maximum(m.total, 1))
         emission[UNSEEN:] = m.unseen
         for batch in batches:
-            scores = []
-            for known, path in zip(batch.column(4).to_pylist(), batch.column(5)):
-                own = np.frombuffer(path.as_py(), np.uint8)
-                line = np.concatenate([[0], own % UNSEEN, [0]]).astype(np.int64)
-                scores.append(float(m.transition[line[:-1], line[1:]].sum() + emission[own].sum() + known) if m.train_tokens else 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(scores, pa.float64())], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+            sizes, paths = pc.binary_length(batch.column(5)).to_numpy(), np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            line, at = _line(paths % UNSEEN, row, len(sizes))
+            steps = m.transition[line[:-1], line[1:]]
+            scores = np.bincount(row, steps[at - 1] + emission[paths], len(sizes)) + steps[np.cumsum(sizes) + np.arange(len(sizes))] + batch.column(4).to_numpy()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(scores if m.train_tokens else np.zeros(len(sizes)))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     rows = coded.select("doc_id", "n_tokens", "n_known", "base_score", "known", "path")
     scored = rows.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
@@ -402,8 +504,9 @@ def op4(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = held_out(F.col("doc_id"), 7, 2)
     train = docs.where(~out).select("text")
-    counts = materialize(word_counts(train), "word_counts")
+    encoded = encode(docs, ~out)
+    counts = materialize(word_counts(train, encoded), "word_counts")
     model = fit(train, counts)
-    words = materialize(word_classes(train, counts, model), "word_classes")
-    coded = materialize(code(docs, words, model), "coded_texts")
+    words = word_classes(train, counts, model, encoded, F.col("train"))
+    coded = materialize(code(docs, words, model, encoded=encoded), "coded_texts")
     return score_paths(coded, refit(model, words, coded.where(~out))).withColumn("held_out", out)

@@ -47,7 +47,7 @@ def test_probabilities_sum_to_one(docs):
         mass[c] += (r["n"] - m.discount) / m.total[c]
         kinds[c] += 1
     for c in mass:
-        assert math.isclose(mass[c] + 10 ** m.unseen[c], 1, rel_tol=1e-9)
+        assert math.isclose(mass[c] + m.unseen_words[c] * 10 ** m.unseen[c], 1, rel_tol=1e-9)
 
 
 def test_classes_find_structure(spark):
@@ -103,6 +103,58 @@ def test_words_have_classes_by_their_own_neighbours(spark):
         assert math.isclose(scores[i], logs, rel_tol=1e-9)
 
 
+def test_scores_against_brute_force(spark, docs, rows, tmp_path):
+    """The whole query: classes as found; counts, smoothing, discount and unseen words computed anew from the texts."""
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], round(r["score"], 6)) for r in classlm.op4(spark, str(tmp_path)).collect())
+
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    out = classlm.held_out(F.col("doc_id"), 7, 2)
+    part = docs.where(~out)
+    counted = classlm.word_counts(part).cache()
+    seed = classlm.fit(part, counted)
+    of = {r["word"]: r["class"] for r in classlm.word_classes(part, counted, seed).collect()}
+    train = [words(r[1]) for r in rows if not held(r[0])]
+    counts = Counter(w for t in train for w in t)
+    assert of.keys() == counts.keys()
+    size = len(seed.pairs)
+    pairs = np.zeros((size, size))
+    for t in train:
+        path = [0, *(of[w] for w in t), 0]
+        for p in zip(path, path[1:]):
+            pairs[p] += 1
+    total = pairs.sum(0)
+    share = [(x + 1) / (total.sum() + size) for x in total]
+    ones, twos = (sum(n == k for n in counts.values()) for k in (1, 2))
+    discount = ones / (ones + 2 * twos)
+    step = lambda a, b: math.log10((pairs[a, b] + classlm.PRIOR * share[b]) / (pairs[a].sum() + classlm.PRIOR))
+
+    def emission(w, c):
+        if w in counts:
+            return math.log10((counts[w] - discount) / total[c])
+        own = [counts[x] for x, k in of.items() if k == c]
+        unseen = max(1, own.count(1) * (own.count(1) - 1) / (2 * (own.count(2) + 1)))
+        return (math.log10(discount * len(own) / total[c]) if own else 0) - math.log10(unseen)
+
+    want, n_unseen = [], 0
+    for r in rows:
+        t = words(r[1])
+        path = [0, *(of[w] if w in of else int(seed.of[classlm.OWN + zlib.crc32(w.encode()[-3:]) % classlm.SHARED]) for w in t), 0]
+        n_unseen += sum(w not in counts for w in t)
+        score = sum(step(*p) for p in zip(path, path[1:])) + sum(emission(w, c) for w, c in zip(t, path[1:]))
+        want.append((str(r[0]), held(r[0]), len(t) + 1, sum(w in counts for w in t) + 1, round(score, 6)))
+    for a, b in zip(got, sorted(want)):
+        assert a[:4] == b[:4] and abs(a[4] - b[4]) < 1e-5 * max(1, abs(b[4])), (a, b)
+    assert n_unseen
+
+
+def test_chunks_do_not_change_the_result(spark, docs):
+    counted = classlm.word_counts(docs).cache()
+    m = classlm.fit(docs, counted)
+    one, many = (sorted(map(str, classlm.score(docs, counted, m, chunk_bytes=n).select("doc_id", "n_tokens", "n_known", F.round("score", 6)).collect())) for n in (10 ** 8, 500))
+    assert one == many
+
+
 def test_empty(empty, docs, rows):
     counted = classlm.word_counts(empty).cache()
     m = classlm.fit(empty, counted)
