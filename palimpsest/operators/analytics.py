@@ -36,6 +36,11 @@ def batch_sizes(batches: DataFrame, batch: str = "batch_id") -> DataFrame:
     return batches.groupBy(batch).agg(F.sum(entry_size()).cast("long").alias("n_bytes"), F.count("*").alias("n_rows"))
 
 
+def can_fit(sizes: DataFrame, capacity: int, used: int = 0) -> DataFrame:
+    """Batches (n_bytes) that fit beside what is used already; one that does not makes the buffer freeze."""
+    return sizes.where(F.col("n_bytes") + used <= capacity)
+
+
 def level_counts(runs: DataFrame) -> DataFrame:
     return runs.groupBy("level").agg(F.count("*").alias("cnt"))
 
@@ -73,7 +78,7 @@ def bloom_sizing(versions: DataFrame, run: str = "run_id", false_positives: floa
     return counted.select(run, "n_entries", bloom_bits(F.col("n_entries"), false_positives).alias("n_bits"), F.lit(hash_functions(false_positives)).alias("n_hash"))
 
 
-def conflicting_txns(reads: DataFrame, commits: DataFrame, time_buckets: int = 1) -> DataFrame:
+def conflicting_txns(reads: DataFrame, commits: DataFrame, time_buckets: int | None = None) -> DataFrame:
     """Transactions (txn_id, begin_ts, end_ts, raw_key) that read a key committed after begin_ts and up to end_ts.
 
     It is enough to look at the last commit of the key up to end_ts.

@@ -39,11 +39,11 @@ def get(versions: DataFrame, key, at: int | None = None) -> DataFrame:
     return own.orderBy(*_newest_first(versions)).limit(1).where(~is_tombstone(F.col("value")))
 
 
-def multi_get(requests: DataFrame, versions: DataFrame, time_buckets: int = 1) -> DataFrame:
+def multi_get(requests: DataFrame, versions: DataFrame, time_buckets: int | None = None) -> DataFrame:
     """For each request (raw_key, begin_ts) the version it sees: a batch of point reads as one as-of lookup.
 
-    Requests and versions meet in one shuffle by key, and no request is paired with all versions of its key. Raise
-    ``time_buckets`` where one key may hold a large part of all versions.
+    Requests and versions meet in one shuffle by key, and no request is paired with all versions of its key. A key with
+    a large part of all rows is cut by time; ``time_buckets`` says in how many parts, instead of a count of the rows.
     """
     seq = F.col("seq") if "seq" in versions.columns else None
     r = requests.select("raw_key", "begin_ts").distinct()
@@ -75,6 +75,16 @@ def overlay(staged: DataFrame, base: DataFrame) -> DataFrame:
     return staged.select("raw_key", "value").unionByName(kept.select("raw_key", "value")).where(~is_tombstone(F.col("value")))
 
 
+def pending(staged: DataFrame) -> DataFrame:
+    """Staged writes in key order, later writes of a key first."""
+    return staged.orderBy("raw_key", F.desc("seq"))
+
+
+def of_kind(staged: DataFrame, kind: int) -> DataFrame:
+    """The staged puts, or the staged deletes."""
+    return staged.where(F.col("kind") == kind)
+
+
 def stamp(staged: DataFrame, commit_ts: int) -> DataFrame:
     """A staged batch as versions of one commit: the last write of each key, deletes as empty values."""
     w = Window.partitionBy("raw_key").orderBy(F.desc("seq"))

@@ -1,8 +1,9 @@
 """As-of lookup: for each left row the last right row of its key at or before its time.
 
-Both sides are merged by key in time order and the last right row is carried forward, so no pairs are made. With
-``time_buckets`` a key's timeline is cut, so that a key with a large part of all rows spreads over as many tasks: the last
-row of each bucket, found by aggregation, is carried over the buckets, of which a key has few, and opens the next one.
+Both sides are merged by key in time order and the last right row is carried forward, so no pairs are made. If a key has
+more than ``KEY_ROWS`` rows, which is counted, or with ``time_buckets`` above 1, timelines are cut, so that a key with a large part of all
+rows spreads over as many tasks: the last row of each bucket, found by aggregation, is carried over the buckets, of
+which a key has few, and opens the next one.
 """
 
 from __future__ import annotations
@@ -10,7 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def asof(left: DataFrame, right: DataFrame, key: str, left_ts: Column, right_ts: Column, carried: Column, seq: Column | None = None, time_buckets: int = 1) -> DataFrame:
+#: Rows of a key that one task takes.
+KEY_ROWS = 2_000_000
+
+
+def asof(left: DataFrame, right: DataFrame, key: str, left_ts: Column, right_ts: Column, carried: Column, seq: Column | None = None, time_buckets: int | None = None) -> DataFrame:
     """(row, at): ``row`` a struct of the left row, ``at`` what ``carried`` gives for its right row. Left rows without one are left out."""
     seq = F.lit(0) if seq is None else seq
     r = right.select(F.col(key).alias("_k"), right_ts.alias("_ts"), F.lit(0).alias("_left"), seq.cast("long").alias("_seq"), carried.alias("_v"))
@@ -18,6 +23,9 @@ def asof(left: DataFrame, right: DataFrame, key: str, left_ts: Column, right_ts:
     l = left.select(F.col(key).alias("_k"), left_ts.alias("_ts"), F.lit(1).alias("_left"), F.lit(0).cast("long").alias("_seq"), none.alias("_v"), F.struct("*").alias("row"))
     every = r.withColumn("row", F.lit(None).cast(l.schema["row"].dataType)).unionByName(l)
     by = ["_k"]
+    if time_buckets is None:
+        keys = left.select(F.col(key).alias("_k")).unionAll(right.select(F.col(key).alias("_k"))).groupBy("_k").count()
+        time_buckets = -(-(keys.agg(F.max("count")).first()[0] or 0) // KEY_ROWS)
     if time_buckets > 1:
         low, high = right.agg(F.min(right_ts), F.max(right_ts)).first()
         if low is None:

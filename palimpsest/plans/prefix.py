@@ -1,50 +1,40 @@
 """Running sums over a total order without a single-task window.
 
-Rows are dealt to ranges by sampled bounds; each range sums on its own, and the ranges' totals, a bounded handful,
-give each range what comes before it.
+Rows are range-partitioned by the order, as many partitions as the session's shuffles have, and summed within each; that
+is written once. The partitions' totals give each partition what comes before it. So the input is read once to sample the
+bounds and once to deal the rows, however often the result is used, and no key or range is held in one place.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
 
-#: Sampled rows for each range.
-SAMPLE = 40
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from .shared import written
 
-def _bounds(df: DataFrame, order: list[tuple[str, bool]], ranges: int) -> list:
-    names = [c for c, _ in order]
-    key = F.xxhash64(*names)
-    # the rows of the smallest hashes are a uniform sample, the same on each run
-    rows = [tuple(r) for r in df.select(*names).orderBy(key, *names).limit(ranges * SAMPLE).collect()]
-    for c, up in reversed(order):
-        rows.sort(key=lambda r: r[names.index(c)], reverse=not up)
-    return [rows[i * len(rows) // ranges] for i in range(1, ranges)] if rows else []
 
-
-def range_of(order: list[tuple[str, bool]], bounds: list, df: DataFrame) -> Column:
-    """The number of bounds at or before the row."""
-    def after(bound) -> Column:
-        out = F.lit(True)
-        for (c, up), v in reversed(list(zip(order, bound))):
-            at = F.lit(v).cast(df.schema[c].dataType)
-            out = (F.col(c) > at if up else F.col(c) < at) | ((F.col(c) == at) & out)
-        return out.cast("int")
-
-    return sum((after(b) for b in bounds), F.lit(0))
-
-
-def running_sum(df: DataFrame, order: list[tuple[str, bool]], amount: Column, name: str, ranges: int | None = None) -> DataFrame:
-    """``df`` with the sum of ``amount`` up to and with each row, by ``order``: (column, ascending) pairs that are unique."""
+def running_sum(df: DataFrame, order: list[tuple[str, bool]], amount: Column, name: str) -> DataFrame:
+    """``df`` with the sum of ``amount`` (long, not negative, no nulls) up to and with each row, by ``order``: (column, ascending) pairs that are unique."""
     spark = df.sparkSession
-    ranges = ranges or min(64, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = df.withColumn("_range", range_of(order, _bounds(df, order, ranges), df)).withColumn("_amount", amount)
-    totals = {r["_range"]: r["t"] for r in dealt.groupBy("_range").agg(F.sum("_amount").alias("t")).collect()}
+    by = [F.asc(c) if up else F.desc(c) for c, up in order]
+    dealt = df.withColumn("_own", amount.cast("long")).repartitionByRange(*by).withColumn("_part", F.spark_partition_id()).sortWithinPartitions(*by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = 0
+        for batch in batches:
+            at = batch.schema.get_field_index("_own")
+            own = before + np.cumsum(batch.column(at).to_numpy())
+            before = int(own[-1]) if len(own) else before
+            yield batch.set_column(at, "_own", pa.array(own, pa.int64()))
+
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in dealt.schema])
+    summed, _ = written(dealt.mapInArrow(run, schema), "running_sum")
     before, total = [], 0
-    for k in range(ranges):
-        before.append((k, total))
-        total += totals.get(k, 0) or 0
-    offsets = F.broadcast(spark.createDataFrame(before, "_range int, _before long"))
-    w = Window.partitionBy("_range").orderBy(*[F.asc(c) if up else F.desc(c) for c, up in order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    own = dealt.withColumn("_own", F.sum("_amount").over(w))
-    return own.join(offsets, "_range").withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_range", "_amount", "_own", "_before")
+    for part, own in sorted(summed.groupBy("_part").agg(F.max("_own")).collect()):  # one row for each partition
+        before.append((part, total))
+        total += own
+    offsets = F.broadcast(spark.createDataFrame(before, "_part int, _before long"))
+    return summed.join(offsets, "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")

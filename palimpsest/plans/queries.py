@@ -99,7 +99,7 @@ def q16(spark, d):
 
 def q17(spark, d):
     delta = F.when(F.col("event_type") == "view", 1).otherwise(-1)
-    return analytics.low_watermark(events(spark, d).where("event_id < 400").select(F.col("user_id").cast("long").alias("ts"), delta.alias("delta")))
+    return analytics.low_watermark(events(spark, d).select(F.col("user_id").cast("long").alias("ts"), delta.alias("delta")))
 
 
 def q18(spark, d):
@@ -199,7 +199,7 @@ SELECT txn_id FROM txn t WHERE EXISTS (SELECT 1 FROM kv k WHERE k.raw_key=t.read
     "Q15_batch_size_bytes": """WITH {KV} SELECT run_id AS batch_id, CAST(sum(length(raw_key)+8+length(value)) AS BIGINT) AS n_bytes, count(*) AS n_rows FROM kv GROUP BY run_id""",
     "Q16_cleanable_runs": """WITH r AS (SELECT user_id AS run_id, CASE WHEN event_type IN ('view','click') THEN 1 ELSE -1 END AS d FROM events)
 SELECT run_id, CAST(sum(d) AS BIGINT) AS refs FROM r GROUP BY run_id HAVING sum(d)<=0""",
-    "Q17_low_watermark": """WITH ev AS (SELECT CAST(user_id AS BIGINT) AS ts, CASE WHEN event_type='view' THEN 1 ELSE -1 END AS delta FROM events WHERE event_id<400),
+    "Q17_low_watermark": """WITH ev AS (SELECT CAST(user_id AS BIGINT) AS ts, CASE WHEN event_type='view' THEN 1 ELSE -1 END AS delta FROM events),
 n AS (SELECT ts, sum(delta) AS pending FROM ev GROUP BY ts), p AS (SELECT min(ts) AS mp FROM n WHERE pending>0)
 SELECT CAST(coalesce(max(ts),0) AS BIGINT) AS done_till FROM n CROSS JOIN p WHERE mp IS NULL OR ts<mp""",
     "Q18_last_commit_ts": """WITH {KV} SELECT max(commit_ts) AS last_commit_ts, count(DISTINCT raw_key) AS n_keys FROM kv""",

@@ -21,6 +21,6 @@ def staged(batch: DataFrame, order: str) -> DataFrame:
 def ingest(stream: DataFrame, store: Store, checkpoint: str, name: str, order: str = "commit_order", trigger: dict | None = None) -> StreamingQuery:
     """Starts a query that commits each micro-batch under ``name:batch id``; a replayed batch changes nothing."""
     def commit(batch: DataFrame, batch_id: int) -> None:
-        store.write_batch(staged(batch, order), f"{name}:{batch_id}")
+        store.write_batch(staged(batch, order), name, batch_id)
 
     return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -23,4 +23,4 @@ def test_nothing_else_needs_the_training_data_operators(tmp_path):
             (tmp_path / f).write_text((ROOT / f).read_text())
     code = "import __spark_entry__ as e; print(sorted(e.queries()) == sorted(e.oracle_sql()), len(e.queries()))"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True)
-    assert done.stdout.split() == ["True", "34"]
+    assert done.stdout.split() == ["True", "44"]
