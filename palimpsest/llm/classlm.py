@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 #: Words that are symbols of their own; symbols that all other words share by their last bytes; bytes of an ending.
 OWN, SHARED, ENDING = 640, 192, 3
@@ -156,7 +156,7 @@ def held_out(id_col: Column, parts: int, part: int) -> Column:
 def encode(docs: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Numbered texts and word lists of chunks, written once.
 
-    A row for each word of a chunk (chunk, pos, word, n: how often its training rows have it) and one for each text
+    A row for each word of a chunk (chunk, pos, word, wid: its hash, n: how often its training rows have it) and one for each text
     (chunk, doc_id, train, ids: its words' pos as 32-bit integers); the others' columns are null. train: which rows count; all if None.
     """
     mark = F.lit(True) if train is None else F.coalesce(train, F.lit(False))
@@ -190,7 +190,13 @@ def encode(docs: DataFrame, train: Column | None = None, id_col: str = "doc_id",
         if held:
             yield from out(held)
 
-    return materialize(rows.mapInArrow(run, "chunk long, pos int, word string, n long, doc_id long, train boolean, ids binary"), "encoded_texts")
+    coded = rows.mapInArrow(run, "chunk long, pos int, word string, n long, doc_id long, train boolean, ids binary")
+    return materialize(coded.withColumn("wid", _wid()), "encoded_texts")
+
+
+def _wid() -> Column:
+    """Words are told by this hash while they choose classes; counts and scores go by the words themselves."""
+    return F.when(F.col("word").isNotNull(), F.xxhash64("word"))
 
 
 def word_counts(train: DataFrame, encoded: DataFrame | None = None) -> DataFrame:
@@ -264,26 +270,24 @@ def tables(n: np.ndarray, seen: np.ndarray, discount: float) -> tuple[np.ndarray
 
 
 def _meet(encoded: DataFrame, lists: DataFrame, texts: Column | None = None) -> DataFrame:
-    """Word lists (chunk, pos, word, n, class, moves) and numbered texts of each chunk in one task, the list first."""
-    none = lambda **types: [F.lit(None).cast(t).alias(c) for c, t in types.items()]
-    words = lists.select((F.col("chunk") * 2).alias("at"), "pos", "word", "n", "class", "moves", *none(doc_id="long", ids="binary"))
+    """Word lists (chunk, pos, a, class, moves) and numbered texts of each chunk in one task, the list first: (at, a, b, ids),
+    b: pos, class and moves in one number; for texts a is the id and b is null."""
+    packed = F.shiftleft(F.col("pos").cast("long"), 9) + F.col("class") * 2 + F.col("moves").cast("int")
+    words = lists.select((F.col("chunk") * 2).alias("at"), "a", packed.alias("b"), F.lit(None).cast("binary").alias("ids"))
     rows = encoded.where(F.col("ids").isNotNull()).where(F.lit(True) if texts is None else texts).select(
-        (F.col("chunk") * 2 + 1).alias("at"), *none(**{"pos": "int", "word": "string", "n": "long", "class": "int", "moves": "boolean"}), "doc_id", "ids")
-    return words.unionAll(rows).withColumn("chunk", F.shiftright("at", 1)).repartition("chunk").sortWithinPartitions("at").drop("chunk")
+        (F.col("chunk") * 2 + 1).alias("at"), F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "ids")
+    return words.unionAll(rows).repartition(F.shiftright("at", 1)).sortWithinPartitions("at")
 
 
 class _Words:
     """The word list of a chunk as arrays by pos."""
 
     def __init__(self, parts: list[pa.RecordBatch]):
-        table = pa.Table.from_batches(parts) if parts else None
-        pos = table["pos"].to_numpy() if parts else np.empty(0, np.int64)
+        a, b = (np.concatenate([np.empty(0, np.int64), *(x.column(i).to_numpy() for x in parts)]) for i in (1, 2))
+        pos = b >> 9
         size = int(pos.max()) + 1 if len(pos) else 0
-        self.kind, self.n, self.moves, self.place = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size, bool), np.zeros(size, np.int64)
-        if size:
-            self.kind[pos], self.moves[pos], self.place[pos] = table["class"].to_numpy(), table["moves"].to_numpy(), np.arange(len(pos))
-            self.n[pos] = pc.fill_null(table["n"], 0).to_numpy()
-        self.word = table["word"] if parts else None
+        self.kind, self.a, self.moves = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size, bool)
+        self.kind[pos], self.a[pos], self.moves[pos] = b >> 1 & 255, a, b & 1
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Words, pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -303,7 +307,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Words, pa.Reco
                 continue
             words = words or _Words(held)
             held = []
-            ids = part.column(part.schema.get_field_index("ids")).cast(pa.binary())
+            ids = part.column(3).cast(pa.binary())
             ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
             own = np.frombuffer(ids.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view("<i4")
             yield words, part, np.repeat(np.arange(len(ids)), np.diff(ends) // 4), own
@@ -317,22 +321,29 @@ def _line(kinds: np.ndarray, row: np.ndarray, texts: int) -> tuple[np.ndarray, n
 
 
 def neighbours(encoded: DataFrame, words: DataFrame, classes: int, texts: Column | None = None) -> DataFrame:
-    """(word, cells, counts): for parts of the texts how often each word that moves has each neighbour class (a byte; plus the
-    number of classes if it stands before); and, with a null word, in counts, how often each class follows each. words: (word, class, moves)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, held, last = np.zeros(classes * classes, np.int64), [], None
+    """(wid, cells): for parts of the texts the neighbours of each word that moves, and, with a null wid, how often each class follows each.
 
-        def out() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            pos, new = np.unique(keys // (2 * classes), return_index=True)
-            ends = np.r_[new, len(keys)].astype(np.int32)
-            binary = lambda x, size: pa.Array.from_buffers(pa.binary(), len(pos), [None, pa.py_buffer(ends * np.int32(size)), pa.py_buffer(x)])
-            word = last.word.take(pa.array(last.place[pos])).combine_chunks()
-            return pa.RecordBatch.from_arrays([word, binary((keys % (2 * classes)).astype(np.uint8), 1), binary(n.astype("<i4"), 4)], ["word", "cells", "counts"])
+    A cell is a neighbour's class, plus the number of classes if it stands before. cells has a byte for each neighbour, or,
+    where that would be longer, a 32-bit count for each cell. words: (wid, class, moves).
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, held, last, cells = np.zeros(classes * classes, np.int64), [], None, 2 * classes
+
+        def out() -> Iterator[pa.RecordBatch]:
+            keys = np.sort(np.concatenate(held))
+            edge = np.r_[0, np.flatnonzero(np.diff(keys // cells)) + 1, len(keys)]
+            wid, many = last.a[keys[edge[:-1]] // cells], np.diff(edge) >= 4 * cells
+            few = np.repeat(~many, np.diff(edge))
+            ends = np.r_[0, np.cumsum(np.diff(edge)[~many])].astype(np.int32)
+            plain = pa.Array.from_buffers(pa.binary(), int((~many).sum()), [None, pa.py_buffer(ends), pa.py_buffer((keys[few] % cells).astype(np.uint8))])
+            yield pa.RecordBatch.from_arrays([pa.array(wid[~many]), plain], ["wid", "cells"])
+            for i in np.flatnonzero(many):
+                counts = np.bincount(keys[edge[i] : edge[i + 1]] % cells, minlength=cells).astype("<i4")
+                yield pa.RecordBatch.from_arrays([pa.array(wid[i : i + 1]), pa.array([counts.tobytes()])], ["wid", "cells"])
 
         for own, part, row, word in _chunks(batches):
             if held and (own is not last or sum(map(len, held)) > SWEPT_CELLS):
-                yield out()
+                yield from out()
                 held = []
             last = own
             line, at = _line(own.kind[word], row, len(part))
@@ -340,18 +351,17 @@ def neighbours(encoded: DataFrame, words: DataFrame, classes: int, texts: Column
             moves = own.moves[word]
             at, word = at[moves], word[moves].astype(np.int64)
             if len(word):
-                held += [word * 2 * classes + line[at + 1], word * 2 * classes + classes + line[at - 1]]
+                held += [word * cells + line[at + 1], word * cells + classes + line[at - 1]]
         if held:
-            yield out()
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.binary()), pa.array([pairs.astype("<i8").tobytes()])], ["word", "cells", "counts"])
+            yield from out()
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([pairs.astype("<i8").tobytes()])], ["wid", "cells"])
 
-    lists = encoded.where("n > 0").select("chunk", "pos", "word").join(words.select("word", "class", "moves"), "word").withColumn("n", F.lit(None).cast("long"))
-    found = _meet(encoded, lists, texts).mapInArrow(run, "word string, cells binary, counts binary")
-    return materialize(found, "neighbours")
+    lists = encoded.where("n > 0").select("chunk", "pos", "wid").join(words.select("wid", "class", "moves"), "wid")
+    return materialize(_meet(encoded, lists.withColumnRenamed("wid", "a"), texts).mapInArrow(run, "wid long, cells binary"), "neighbours")
 
 
 def class_pairs(parts: DataFrame, classes: int) -> np.ndarray:
-    """The sum of the tables (column counts) in ``parts``."""
+    """The sum of the tables (column cells) in ``parts``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(classes * classes, np.int64)
         for batch in batches:
@@ -361,13 +371,13 @@ def class_pairs(parts: DataFrame, classes: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
 
     out = np.zeros(classes * classes)
-    for r in parts.select("counts").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+    for r in parts.select("cells").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         out[r["cell"]] = r["n"]
     return out.reshape(classes, classes)
 
 
 def best_classes(near: DataFrame, pairs: np.ndarray) -> DataFrame:
-    """(word, n, class) of each word of ``neighbours``: the class that its neighbours make likeliest. pairs: how often each class follows each."""
+    """(wid, class) of each word of ``neighbours``: the class that its neighbours make likeliest. pairs: how often each class follows each."""
     classes, size = len(pairs), pairs.sum(0)
     share = (size + 1) / (size.sum() + classes)
     # the derivative of the likelihood that exchange() raises: log p(next | class) and log p(before | class)
@@ -378,47 +388,53 @@ def best_classes(near: DataFrame, pairs: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gain = sent.value
-        word, seen = None, np.zeros(len(gain))  # the last word may go on
+        cells = len(gain)
+        word, seen = None, np.zeros(cells)  # the last word may go on
 
-        def out(words: pa.Array, seen: np.ndarray) -> pa.RecordBatch:
+        def out(words: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
             best = np.argmax(seen @ gain[:, 1:], axis=1) + 1
-            return pa.RecordBatch.from_arrays([words.cast(pa.string()), pa.array(seen.sum(1).astype(np.int64) // 2), pa.array(best.astype(np.int32))], ["word", "n", "class"])
+            return pa.RecordBatch.from_arrays([pa.array(words), pa.array(best.astype(np.int32))], ["wid", "class"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            words = batch.column(0)
-            new = np.r_[True, pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)]
-            group = np.repeat(np.cumsum(new) - 1, pc.binary_length(batch.column(1)).to_numpy())
-            cells, counts = (np.frombuffer(b"".join(batch.column(i).to_pylist()), t) for i, t in ((1, np.uint8), (2, "<i4")))
-            found = np.bincount(group * len(gain) + cells, counts, minlength=int(new.sum()) * len(gain)).reshape(-1, len(gain))
-            distinct = words.filter(pa.array(new))
-            if word is not None and distinct[0].as_py() == word:
+            words, sizes = batch.column(0).to_numpy(), pc.binary_length(batch.column(1)).to_numpy()
+            new = np.r_[True, words[1:] != words[:-1]]
+            group, many = np.cumsum(new) - 1, sizes >= 4 * cells
+            lists, counts = (np.frombuffer(b"".join(batch.column(1).filter(pa.array(m)).to_pylist()), t) for m, t in ((~many, np.uint8), (many, "<i4")))
+            found = np.bincount(np.repeat(group[~many], sizes[~many]) * cells + lists, minlength=(group[-1] + 1) * cells).reshape(-1, cells).astype(float)
+            np.add.at(found, group[many], counts.reshape(-1, cells))
+            distinct = words[new]
+            if distinct[0] == word:
                 found[0] += seen
             elif word is not None:
-                yield out(pa.array([word]), seen[None])
+                yield out(np.array([word]), seen[None])
             if len(found) > 1:
                 yield out(distinct[:-1], found[:-1])
-            word, seen = distinct[-1].as_py(), found[-1]
+            word, seen = distinct[-1], found[-1]
         if word is not None:
-            yield out(pa.array([word]), seen[None])
+            yield out(np.array([word]), seen[None])
 
-    return near.where("word is not null").repartition("word").sortWithinPartitions("word").mapInArrow(run, "word string, n long, class int")
+    return near.where("wid is not null").repartition("wid").sortWithinPartitions("wid").mapInArrow(run, "wid long, class int")
 
 
 def word_classes(train: DataFrame, counts: DataFrame, model: Model, encoded: DataFrame | None = None, texts: Column | None = None, sweeps: int = WORD_SWEEPS) -> DataFrame:
     """(word, n, class) of every training word. encoded, texts: of ``encode``, and which of its texts are training texts."""
     spark, classes = train.sparkSession, len(model.pairs)
     encoded = encode(train.select(F.lit(None).cast("long").alias("doc_id"), "text")) if encoded is None else encoded
-    own = spark.createDataFrame([(w.decode(), int(model.of[i])) for w, i in model.own.items()], "word string, own int")
-    fixed = counts.join(F.broadcast(own), "word").select("word", "n", F.col("own").alias("class"))
-    table = counts.join(F.broadcast(own), "word", "left").select("word", "n", F.coalesce("own", symbol_class(F.col("word"), model)).alias("class"), F.col("own").isNull().alias("moves"))
+    own = F.broadcast(spark.createDataFrame([(w.decode(), int(model.of[i])) for w, i in model.own.items()], "word string, own int"))
+    counts = counts.join(own, "word", "left").select(_wid().alias("wid"), "word", "n", "own")
+    first = F.coalesce("own", symbol_class(F.col("word"), model))
+    table = counts.select("wid", first.alias("class"), F.col("own").isNull().alias("moves"))
     for _ in range(sweeps):
         near = neighbours(encoded, table, classes, texts)
-        pairs = class_pairs(near.where("word is null"), classes)
-        moved = best_classes(near, pairs).withColumn("moves", F.lit(True))
-        table = materialize(moved.unionAll(fixed.withColumn("moves", F.lit(False))), "word_classes")
-    return table.select("word", "n", "class")
+        pairs = class_pairs(near.where("wid is null"), classes)
+        found = best_classes(near, pairs).withColumn("moves", F.lit(True))
+        fixed = counts.where("own is not null").select("wid", F.col("own").alias("class"), F.lit(False).alias("moves"))
+        table = materialize(found.unionAll(fixed), "swept_classes")
+        release(near)
+    out = counts.join(table.select("wid", "class"), "wid").select("word", "n", F.coalesce("own", "class").alias("class")) if sweeps else counts.select("word", "n", first.alias("class"))
+    return materialize(out, "word_classes")
 
 
 def refit(model: Model, words: DataFrame, coded: DataFrame) -> Model:
@@ -430,9 +446,9 @@ def refit(model: Model, words: DataFrame, coded: DataFrame) -> Model:
         for batch in batches:
             line = np.frombuffer(b"\0" + b"".join(x + b"\0" for x in batch.column(0).to_pylist()), np.uint8).astype(np.int64) % UNSEEN
             total += np.bincount(line[:-1] * classes + line[1:], minlength=classes * classes)
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype("<i8").tobytes()])], ["counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype("<i8").tobytes()])], ["cells"])
 
-    n = class_pairs(coded.select("path").mapInArrow(run, "counts binary"), classes)
+    n = class_pairs(coded.select("path").mapInArrow(run, "cells binary"), classes)
     seen = np.zeros((classes, 3))
     seen[0] = 1, 0, 0
     for r in _seen(words, "class"):
@@ -458,18 +474,18 @@ def code(docs: DataFrame, words: DataFrame, model: Model, id_col: str = "doc_id"
         last = None
         for own, part, row, word in _chunks(batches):
             if own is not last:
-                last, base = own, np.log10(own.n + 1.0)
-                known = np.where(own.n > 0, np.log10(np.maximum(own.n - discount, 1e-300)), 0.0)
+                last, base, seen = own, np.log10(own.a + 1.0), (own.a > 0).astype(float)
+                known = np.where(own.a > 0, np.log10(np.maximum(own.a - discount, 1e-300)), 0.0)
             total = lambda x: np.bincount(row, x[word], len(part))
             sizes = np.bincount(row, minlength=len(part))
             path = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.py_buffer(own.kind[word].astype(np.uint8))])
             yield pa.RecordBatch.from_arrays([
-                part.column(part.schema.get_field_index("doc_id")), pa.array(sizes + 1), pa.array(total((own.n > 0).astype(float)).astype(np.int64) + int(ends > 0)),
+                part.column(1), pa.array(sizes + 1), pa.array(total(seen).astype(np.int64) + int(ends > 0)),
                 pa.array(total(base) + math.log10(ends + 1) - (sizes + 1) * floor), pa.array(total(known)), path],
                 ["doc_id", "n_tokens", "n_known", "base_score", "known", "path"])
 
     lists = encoded.where(F.col("word").isNotNull()).select("chunk", "pos", "word").join(words.select("word", "n", "class"), "word", "left")
-    lists = lists.withColumn("class", F.coalesce("class", shared + UNSEEN)).withColumn("word", F.lit(None).cast("string")).withColumn("moves", F.lit(False))
+    lists = lists.select("chunk", "pos", F.coalesce("n", F.lit(0)).alias("a"), F.coalesce("class", shared + UNSEEN).alias("class"), F.lit(False).alias("moves"))
     return _meet(encoded, lists).mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, known double, path binary")
 
 

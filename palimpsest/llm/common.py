@@ -18,6 +18,9 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 #: Largest row count of a side that is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 
+#: Whether a query's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, else one made here for local runs."""
@@ -76,21 +79,28 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back: cuts lineage, survives lost executors.
 
-    The files go with the enclosing ``scratch``, else when the application's file system closes.
+    The files go with the enclosing ``scratch``, else when the application's file system closes. The write's shuffle files, which
+    nothing will read again, go at its end.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/palimpsest/{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    cleanup = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, cleanup)
     if _scopes and not keep:
         _scopes[-1].append(path)
     _delete(spark, path, at_exit=True)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
 
 
 def release(df: DataFrame) -> None:
-    """Deletes a table that ``materialize`` has written."""
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        _delete(df.sparkSession, path)
+    """Deletes a table that ``materialize`` has returned."""
+    _delete(df.sparkSession, df._written_to)
 
 
 def join_sized(big: DataFrame, small: DataFrame, rows: int, on: Column | list[str], how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
