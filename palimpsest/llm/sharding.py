@@ -1,8 +1,9 @@
 """Sharding by a two-pass external shuffle.
 
 Pass one scatters the records over buckets that fit into memory, by a seeded hash of each record's number, so equal
-texts or ids spread like any others. Pass two puts each bucket into a defined order, shuffles it by a seeded
-Fisher-Yates and writes it. A record's place in the shuffled order is its bucket's offset plus its place there; places
+texts or ids spread like any others. A task gets several buckets where there are many, sorted (on disk if need be), so that the
+number of shuffle files does not grow with the number of buckets. Pass two puts each bucket into a defined order, shuffles it by a seeded
+Fisher-Yates and writes it; a task holds one bucket at a time. A record's place in the shuffled order is its bucket's offset plus its place there; places
 are dealt to the shards in turn, so shard sizes in rows are at most one apart (law ``rows``) and slots run from 0
 without gaps.
 
@@ -22,8 +23,8 @@ from .common import join_sized, materialize
 
 SHARDS = 8
 SEED = 20240
-#: Bytes of text that a bucket holds on average.
-BUCKET_BYTES = 16_000_000
+#: Bytes of text that a bucket holds on average; buckets that one task shuffles one after another, at most.
+BUCKET_BYTES, TASK_BUCKETS = 16_000_000, 256
 
 
 def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
@@ -66,7 +67,8 @@ def shuffled(docs: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES
         if held:
             yield from mixed(held)
 
-    scattered = rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "number")
+    tasks = min(buckets, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-buckets // TASK_BUCKETS)))
+    scattered = rows.repartitionById(tasks, F.col("bucket") % tasks).sortWithinPartitions("bucket", "number")
     schema = scattered.drop("number").schema.add("place", "long")
     return materialize(scattered.mapInArrow(run, schema), "shuffled"), buckets
 
@@ -85,7 +87,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes:
     groups = docs.sparkSession.createDataFrame(before, "g int, before long")
     table = counts.withColumn("own", F.sum("n").over(w)).join(F.broadcast(groups), "g")
     table = table.select("bucket", (F.col("before") + F.col("own") - F.col("n")).alias("offset"))
-    rows = join_sized(rows, table, buckets, ["bucket"], "inner")
+    rows = join_sized(rows, table, buckets * 48, ["bucket"], "inner")
     at = F.col("offset") + F.col("place")
     return rows.select("row", (at % shards).cast("int").alias("shard"), F.floor(at / shards).cast("long").alias("slot"))
 

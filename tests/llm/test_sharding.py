@@ -36,3 +36,44 @@ def test_shards_on_disk(spark, docs, rows, tmp_path):
 
 def test_empty(empty):
     assert sharding.shard(empty).count() == 0
+
+
+def xxh(value, seed):
+    import struct
+
+    import xxhash
+
+    return xxhash.xxh64_intdigest(value if isinstance(value, bytes) else struct.pack("<q", value), seed)
+
+
+def test_order_against_brute_force(spark):
+    """Scatter, order of buckets and exchanges computed anew from record numbers."""
+    import struct
+
+    import numpy as np
+
+    texts = [(i, "x" * (i * 7 % 90)) for i in range(700)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    seed, bucket_bytes, shards = 11, 4000, 8
+    total = sum(len(t) + 64 for _, t in texts)
+    buckets = -(-total // bucket_bytes)
+    held = [[] for _ in range(buckets)]
+    for i, _ in texts:  # one partition: record numbers are places
+        h = xxh(i, xxh(struct.pack("<i", seed), 42))
+        held[(h - (1 << 64) if h >> 63 else h) % buckets].append(i)
+    order = []
+    for k, own in enumerate(held):
+        picks = np.random.Generator(np.random.PCG64([seed, k])).integers(0, np.arange(len(own), 0, -1)).tolist() if own else []
+        own = list(own)
+        for step, j in enumerate(picks):
+            last = len(own) - 1 - step
+            own[last], own[j] = own[j], own[last]
+        order += own
+    want = {i: (at % shards, at // shards) for at, i in enumerate(order)}
+    for tasks in (3, 100):
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+        try:
+            got = {r["row"]["doc_id"]: (r["shard"], r["slot"]) for r in sharding.shard(docs, shards, seed, bucket_bytes).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+        assert got == want
