@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BROADCAST_ROWS, arrow_rows, join_sized, materialize
+from .common import arrow_rows, join_sized, materialize, size_of
 
 WINDOW = 10
 #: Words of a shard of training text, but for a longer single text.
@@ -96,11 +96,12 @@ def _narrow(seq: np.ndarray, order: np.ndarray, lo: np.ndarray, hi: np.ndarray,
     return ends[0], ends[1]
 
 
-def search_shard(ids: list[np.ndarray], q: Queries) -> tuple[list[np.ndarray], list[set[int]], np.ndarray, np.ndarray]:
+def search_shard(ids: list[np.ndarray], q: Queries) -> tuple[list[np.ndarray], list[set[int]], np.ndarray]:
     """For a shard of documents, as arrays of word numbers (0: no item has the word): masks of the hit words, items
-    whose windows occur, and for each the longest match (words) and where it starts (word)."""
+    whose windows occur, and an array (3, documents): the words of each one's longest match that holds a window, the first
+    place where one of that length starts and the first item that has it there."""
     hit, items = [np.zeros(len(x), bool) for x in ids], [set() for _ in ids]
-    longest, longest_at = np.zeros(len(ids), np.int64), np.full(len(ids), -1)
+    longest = np.stack([np.zeros(len(ids), np.int64), np.full(len(ids), -1), np.full(len(ids), -1)])
     pieces, origin, owner = [], [], []
     for d, x in enumerate(ids):
         known = np.flatnonzero(np.diff(np.r_[False, x > 0, False].astype(np.int8)))
@@ -110,7 +111,7 @@ def search_shard(ids: list[np.ndarray], q: Queries) -> tuple[list[np.ndarray], l
                 origin.append(np.arange(a, b + 1))
                 owner.append(np.full(b - a + 1, d))
     if not pieces or not len(q):
-        return hit, items, longest, longest_at
+        return hit, items, longest
     seq, origin, owner = (np.concatenate(x).astype(np.int64) for x in (pieces, origin, owner))
     order = suffix_array(seq, int(np.diff(np.r_[-1, np.flatnonzero(q.seq == 0)]).max()))
     live = np.arange(len(q))
@@ -128,16 +129,20 @@ def search_shard(ids: list[np.ndarray], q: Queries) -> tuple[list[np.ndarray], l
                 windows[(x, y, depth)] = q.item[full[which.reshape(-1) == r]]
         held = live[(q.room[live] > 0) & (q.room[live] <= depth)]
         if len(held):  # the longest so far: locations of the ranges, all of one depth
-            for x, y in np.unique(np.stack([lo[held], hi[held]], 1), axis=0).tolist():
-                d = owner[order[x:y]]
-                longest[d], longest_at[d] = depth, origin[order[x:y]]
+            held = held[np.lexsort((q.item[held], hi[held], lo[held]))]
+            held = held[np.r_[True, (np.diff(lo[held]) != 0) | (np.diff(hi[held]) != 0)]]  # of a range the first item
+            places = np.concatenate([order[x:y] for x, y in zip(lo[held].tolist(), hi[held].tolist())])
+            own, item = owner[places], np.repeat(q.item[held], hi[held] - lo[held])
+            first = np.lexsort((item, origin[places], own))
+            first = first[np.r_[True, np.diff(own[first]) != 0]]
+            longest[:, own[first]] = np.stack([np.full(len(first), depth), origin[places[first]], item[first]])
         live = live[q.seq[q.start[live] + depth] > 0]
     for (x, y, n), found in windows.items():
         places = order[x:y]
         for d, p in zip(owner[places].tolist(), origin[places].tolist()):
             hit[d][p : p + n] = True
             items[d].update(found.tolist())
-    return hit, items, longest, longest_at
+    return hit, items, longest
 
 
 def _spans(mask: np.ndarray) -> list[int]:
@@ -145,19 +150,19 @@ def _spans(mask: np.ndarray) -> list[int]:
 
 
 def _search(docs: DataFrame, items: list[tuple[int, bytes | None]], window: int) -> DataFrame:
-    """(row, doc_id, text_hash, n_words, spans, items, longest, longest_at); spans: starts and ends of hit words."""
-    sent = docs.sparkSession.sparkContext.broadcast(items)
+    """(row, doc_id, text_hash, n_words, spans, items, longest, longest_at, longest_item); spans: starts and ends of hit words."""
+    sent = docs.sparkSession.sparkContext.broadcast(Queries(items, window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = Queries(sent.value, window)
+        q = sent.value
         get = q.number.get
 
         def out(rows: list) -> pa.RecordBatch:
-            hit, found, longest, at = search_shard([r[2] for r in rows], q)
+            hit, found, longest = search_shard([r[2] for r in rows], q)
             return pa.RecordBatch.from_arrays([
                 pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()),
                 pa.array([len(r[2]) for r in rows], pa.int64()), pa.array([_spans(h) for h in hit], pa.list_(pa.int64())),
-                pa.array([[q.ids[k] for k in sorted(f)] for f in found], pa.list_(pa.int64())), pa.array(longest), pa.array(at)], names)
+                pa.array([[q.ids[k] for k in sorted(f)] for f in found], pa.list_(pa.int64())), pa.array(longest[0]), pa.array(longest[1]), pa.array([q.ids[k] if k >= 0 else None for k in longest[2].tolist()], pa.int64())], names)
 
         held, n = [], 0
         for batch in batches:
@@ -171,14 +176,15 @@ def _search(docs: DataFrame, items: list[tuple[int, bytes | None]], window: int)
         if held:
             yield out(held)
 
-    names = ["row", "doc_id", "text_hash", "n_words", "spans", "items", "longest", "longest_at"]
-    return docs.mapInArrow(run, "row long, doc_id long, text_hash long, n_words long, spans array<long>, items array<long>, longest long, longest_at long")
+    names = ["row", "doc_id", "text_hash", "n_words", "spans", "items", "longest", "longest_at", "longest_item"]
+    return docs.mapInArrow(run, "row long, doc_id long, text_hash long, n_words long, spans array<long>, items array<long>, longest long, longest_at long, longest_item long")
 
 
 def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
            block_chars: int = BLOCK_CHARS) -> DataFrame:
     """For each row of ``docs``: doc_id, text_hash, n_words, spans (starts and ends of the hit words), items (ids whose windows
-    occur), longest (words of the longest verbatim match that holds a window) and longest_at (its first word)."""
+    occur), longest (words of the longest verbatim match that holds a window, or 0), longest_at (the first word of the first one
+    so long, from 0, or -1) and longest_item (the smallest id of an item that has it, or null)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     bench = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     blocks = 1 + (bench.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars
@@ -195,21 +201,21 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col:
     every = every.withColumn("pairs", F.when(F.size("spans") > 0, pairs).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>")))
     one = every.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash"), F.first("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("pairs"))).alias("pairs"),
-        F.sort_array(F.flatten(F.collect_list("items"))).alias("items"), F.max(F.struct("longest", "longest_at")).alias("m"))
+        F.sort_array(F.flatten(F.collect_list("items"))).alias("items"), F.max(F.struct("longest", (-F.col("longest_at")).alias("at"), (-F.col("longest_item")).alias("item"))).alias("m"))
     merged = F.aggregate("pairs", F.array().cast("array<bigint>"), lambda s, p: F.when(
         (F.size(s) > 0) & (F.element_at(s, -1) >= p["a"]),
         F.concat(F.slice(s, F.lit(1), F.size(s) - 1), F.array(F.greatest(F.element_at(s, -1), p["b"])))).otherwise(F.concat(s, F.array(p["a"], p["b"]))))
-    return one.select("doc_id", "text_hash", "n_words", merged.alias("spans"), "items", "m.longest", "m.longest_at")
+    return one.select("doc_id", "text_hash", "n_words", merged.alias("spans"), "items", "m.longest", (-F.col("m.at")).alias("longest_at"), (-F.col("m.item")).alias("longest_item"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, text_hash, n_words, n_hit, n_items, items_sha256, contaminated, longest, longest_at) for each row of ``docs``."""
+    """(doc_id, text_hash, n_words, n_hit, n_items, items_sha256, contaminated, longest, longest_at, longest_item) for each row of ``docs``."""
     found = search(docs, benchmark, window)
     n_hit = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda s, x: s + x)
     names = F.array_join(F.sort_array(F.transform("items", lambda x: x.cast("string"))), ",")
     return found.select(
         "doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(names.cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "longest", "longest_at")
+        F.sha2(names.cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "longest", "longest_at", "longest_item")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,7 +224,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col:
     found = materialize(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "contaminated")
     same = F.col(f"r.{id_col}").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(f"r.{text_col}") == F.col("_hash"))
     rows = docs.select(F.struct("*").alias("r"))
-    return join_sized(rows, found, found.limit(BROADCAST_ROWS + 1).count(), same, "left_anti").select("r.*")
+    return join_sized(rows, found, size_of(found), same, "left_anti").select("r.*")
 
 
 def sha256_of(items: list[int]) -> str:
@@ -227,17 +233,20 @@ def sha256_of(items: list[int]) -> str:
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
-    return decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text_hash", "longest", "longest_at")
+    return decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text_hash")
 
 
 OP3_SQL = r"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
-bw AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i+k-1], ' ') AS g FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+b AS (SELECT item_id, row_number() OVER () AS b, regexp_extract_all(translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+bw AS (SELECT item_id, b, j, k, array_to_string(w[j:j+k-1], ' ') AS g FROM (SELECT item_id, b, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS j FROM b WHERE len(w) > 0)),
 ks AS (SELECT DISTINCT k FROM bw),
 dw AS (SELECT r, i, k, array_to_string(w[i:i+k-1], ' ') AS g FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d CROSS JOIN ks WHERE len(w) >= k)),
-h AS (SELECT dw.r, dw.i, dw.k, bw.item_id FROM dw JOIN bw ON bw.g = dw.g AND bw.k = dw.k),
+h AS (SELECT dw.r, dw.i, dw.k, bw.item_id, bw.b, bw.j FROM dw JOIN bw ON bw.g = dw.g AND bw.k = dw.k),
 p AS (SELECT r, count(DISTINCT x) AS n FROM (SELECT r, unnest(range(i, i + k)) AS x FROM h) GROUP BY r),
-t AS (SELECT r, count(*) AS n, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS s FROM h) GROUP BY r)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(p.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items, sha256(coalesce(t.s, '')) AS items_sha256, coalesce(p.n, 0) > 0 AS contaminated
-FROM d LEFT JOIN p ON p.r = d.r LEFT JOIN t ON t.r = d.r
+t AS (SELECT r, count(*) AS n, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS s FROM h) GROUP BY r),
+m AS (SELECT r, item_id, min(i) AS i, count(*) + k - 1 AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY r, b, i - j ORDER BY i) AS run FROM h) GROUP BY r, item_id, b, k, i - j, run),
+l AS (SELECT r, item_id, i, n FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY n DESC, i, item_id) AS q FROM m) WHERE q = 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(p.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items, sha256(coalesce(t.s, '')) AS items_sha256, coalesce(p.n, 0) > 0 AS contaminated,
+  coalesce(l.n, 0) AS longest, coalesce(l.i, 0) - 1 AS longest_at, l.item_id AS longest_item
+FROM d LEFT JOIN p ON p.r = d.r LEFT JOIN t ON t.r = d.r LEFT JOIN l ON l.r = d.r
 """

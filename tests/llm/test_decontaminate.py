@@ -60,7 +60,7 @@ def test_blocks_and_shards_agree(spark, docs, rows, items, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string")
     whole = dc.search(docs, bench)
     blocks = dc.search(docs, bench, block_chars=400)
-    plain = lambda df: sorted((str(r["doc_id"]), r["n_words"], r["spans"], sorted(r["items"]), r["longest"]) for r in df.collect())
+    plain = lambda df: sorted((str(r["doc_id"]), r["n_words"], r["spans"], sorted(r["items"]), r["longest"], r["longest_at"], r["longest_item"]) for r in df.collect())
     for a, b in zip(plain(whole), plain(blocks)):
         assert a == b
 
@@ -72,21 +72,19 @@ def test_longest_match():
     items = [(k, b" ".join(rng.choice(vocab) for _ in range(rng.randint(1, 25)))) for k in range(12)]
     q = dc.Queries(items, 4)
     ids = [np.array([q.number.get(w, 0) for w in t], np.int32) for t in texts]
-    _, _, longest, at = dc.search_shard(ids, q)
-    for t, n, a in zip(texts, longest.tolist(), at.tolist()):
-        best = 0
-        for _, item in items:
-            w = item.split()
+    _, _, longest = dc.search_shard(ids, q)
+    for t, n, a, item in zip(texts, *longest.tolist()):
+        best, where = 0, []
+        for k, text in items:
+            w = text.split()
             for i in range(len(t)):
                 for j in range(len(w)):
-                    k = 0
-                    while i + k < len(t) and j + k < len(w) and t[i + k] == w[j + k]:
-                        k += 1
-                    if k >= min(4, len(w)):
-                        best = max(best, k)
-        assert n == best
-        if n:
-            assert any(b" " + b" ".join(t[a:a + n]) + b" " in b" " + item + b" " for _, item in items)
+                    m = 0
+                    while i + m < len(t) and j + m < len(w) and t[i + m] == w[j + m]:
+                        m += 1
+                    if m >= min(4, len(w)) and m >= best:
+                        best, where = m, [*(where if m == best else []), (i, k)]
+        assert (n, a, item) == ((best, *min(where)) if best else (0, -1, -1))
 
 
 def test_suffix_array_sorts_suffixes():
