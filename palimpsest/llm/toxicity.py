@@ -1,8 +1,8 @@
 """Toxicity: a counterfactually regularised classifier.
 
 A logistic model over the presence of words and word beginnings in a text, fitted on labelled texts. For each labelled
-text that mentions an identity term, the term is swapped for another of its group, and the squared change of the log
-odds is penalised with the loss, so the mention of a group by itself moves no score. The fit takes at most
+text that mentions an identity term, the term is swapped for each other one of its group, and the squared change of the log
+odds, taken as the mean over the swaps, is penalised with the loss, so it moves no score which group a text mentions. The fit takes at most
 ``FIT_ROWS`` labelled rows, those of the smallest id hashes; its features are chosen by how far their shares among toxic and
 other texts are apart. Scoring takes whole texts.
 
@@ -13,7 +13,6 @@ labels without id or mark are passed over; a null id counts as the empty string
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -67,12 +66,11 @@ def features(word: bytes) -> list[bytes]:
     return [word, *(word[:n] + b"*" for n in BEGINNINGS if len(word) > n)]
 
 
-def swapped(own: set[bytes]) -> set[bytes] | None:
-    """The words with every identity term swapped, or None if there is none."""
-    terms = own & _SWAPS.keys()
-    if not terms:
-        return None
-    return (own - terms) | {_SWAPS[t][zlib.crc32(t) % len(_SWAPS[t])] for t in terms}
+def swapped(own: set[bytes]) -> list[set[bytes]]:
+    """The words with every identity term swapped, for each other term of the longest group in turn; none without a term."""
+    terms = sorted(own & _SWAPS.keys())
+    turns = max((len(_SWAPS[t]) for t in terms), default=0)
+    return [(own - set(terms)) | {_SWAPS[t][k % len(_SWAPS[t])] for t in terms} for k in range(turns)]
 
 
 class Model:
@@ -106,14 +104,14 @@ def _rows(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(lists)), sizes), np.asarray(lists.flatten(), np.int64)
 
 
-def _logistic(ids: pa.ListArray, gone: pa.ListArray, come: pa.ListArray, y: np.ndarray, n: int, steps: int = 400) -> tuple[np.ndarray, float]:
+def _logistic(ids: pa.ListArray, gone: pa.ListArray, come: pa.ListArray, turns: np.ndarray, y: np.ndarray, n: int, steps: int = 400) -> tuple[np.ndarray, float]:
     """Weights and bias by Adam on the whole sample: log loss in which both labels weigh alike, ridge and the swaps'
     squared changes of the log odds.
 
-    ids: the features of each text; gone, come: those that the swap takes away and brings.
+    ids: the features of each text; gone, come: those that its swaps take away and bring, once for each swap; turns: its swaps.
     """
     row, col = _rows(ids)
-    left, right = _rows(gone), _rows(come)
+    left, right, each = _rows(gone), _rows(come), 1 / np.maximum(turns, 1)
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     w, bias = np.zeros(n), 0.0
     m, v = np.zeros(n + 1), np.zeros(n + 1)
@@ -122,7 +120,7 @@ def _logistic(ids: pa.ListArray, gone: pa.ListArray, come: pa.ListArray, y: np.n
         err = (1 / (1 + np.exp(-z)) - y) * weight / len(y)
         grad = np.bincount(col, err[row], n) + RIDGE * w
         if len(left[0]) or len(right[0]):
-            change = (np.bincount(left[0], w[left[1]], len(y)) - np.bincount(right[0], w[right[1]], len(y))) * 2 * SWAP_PENALTY / len(y)
+            change = (np.bincount(left[0], w[left[1]], len(y)) - np.bincount(right[0], w[right[1]], len(y))) * each * each * 2 * SWAP_PENALTY / len(y)
             grad += np.bincount(left[1], change[left[0]], n) - np.bincount(right[1], change[right[0]], n)
         g = np.append(grad, err.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -164,13 +162,15 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, n_features
         for batch in batches:
             own = [words(t) for t in arrow_rows(batch, "text")]
             ids = [model.ids(w) for w in own]
-            other = [ids[k] if (x := swapped(w)) is None else model.ids(x) for k, w in enumerate(own)]
-            out = (ids, [a - b for a, b in zip(ids, other)], [b - a for a, b in zip(ids, other)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([sorted(x) for x in s], pa.list_(pa.int32())) for s in out)], ["y", "ids", "gone", "come"])
+            other = [[model.ids(x) for x in swapped(w)] for w in own]
+            out = (ids, [[f for x in xs for f in sorted(a - x)] for a, xs in zip(ids, other)], [[f for x in xs for f in sorted(x - a)] for a, xs in zip(ids, other)])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array([list(x) for x in s], pa.list_(pa.int32())) for s in (map(sorted, ids), *out[1:])), pa.array([len(x) for x in other], pa.int32())],
+                ["y", "ids", "gone", "come", "turns"])
 
-    found = texts.mapInArrow(lists, "y int, ids array<int>, gone array<int>, come array<int>").toArrow()  # bounded by fit_rows and n_features
+    found = texts.mapInArrow(lists, "y int, ids array<int>, gone array<int>, come array<int>, turns int").toArrow()  # bounded by fit_rows and n_features
     y = (np.asarray(found["y"]) == 1).astype(float)
-    weights, bias = _logistic(*(found[c].combine_chunks() for c in ("ids", "gone", "come")), y, len(names))
+    weights, bias = _logistic(*(found[c].combine_chunks() for c in ("ids", "gone", "come")), np.asarray(found["turns"]), y, len(names))
     return Model(names, weights, bias)
 
 

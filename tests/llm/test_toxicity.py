@@ -57,6 +57,20 @@ def test_swaps_take_the_mention_out_of_the_score(spark, monkeypatch):
     assert with_swaps < 0.5 and with_swaps < toxicity.fit(docs, labels).score(neutral)
 
 
+def test_every_term_of_a_line_scores_alike(spark):
+    rng = random.Random(6)
+    rows = [(i, f"{t} the {rng.choice(('muslims', 'jews', 'sikhs', 'atheists', 'christians'))} by the window", y) for i, t, y in made(1200, 7)]
+    # one group is mentioned mostly in toxic rows
+    rows = [(i, t.replace("jews", "muslims") if y and rng.random() < 0.7 else t, y) for i, t, y in rows]
+    docs, labels = frames(spark, rows)
+    model = toxicity.fit(docs, labels)
+    z = lambda term: np.log((p := model.score(f"the {term} read a letter by the window".encode())) / (1 - p))
+    scores = [z(t) for t in ("muslims", "jews", "sikhs", "atheists", "christians")]
+    assert max(scores) - min(scores) < 0.6, scores
+    assert toxicity.swapped({b"frau", b"x"}) == [{b"mann", b"x"}] and toxicity.swapped({b"x"}) == []
+    assert {w for x in toxicity.swapped({b"deaf", b"frau"}) for w in x} == {*(t.encode() for t in toxicity.IDENTITY_TERMS[8] if t != "deaf"), b"mann"}
+
+
 def test_brute_force_score(spark):
     docs, labels = frames(spark, made(200, 4))
     model = toxicity.fit(docs, labels)
