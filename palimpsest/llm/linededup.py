@@ -16,7 +16,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import BROADCAST_ROWS, join_sized, let, materialize
+from .common import join_sized, let, materialize, size_of
 
 #: A line on so many distinct sites is boilerplate.
 MIN_SITES = 10
@@ -49,7 +49,7 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -
         .where((F.col("n") >= min_sites) & ((F.col("lo") != F.col("hi")) | F.lit(min_sites <= 1)))
     )
     candidates = materialize(spread.select("h", "keeper"), "line_candidates")
-    n = candidates.limit(BROADCAST_ROWS + 1).count()
+    n = size_of(candidates)
     sketches = (
         join_sized(lines.where("site is not null"), candidates.select("h"), n, ["h"], "left_semi")
         .groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("estimate"))
@@ -58,7 +58,7 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -
     sketches = materialize(sketches.where(F.col("estimate") >= min_sites - band), "line_sketches")
     near = sketches.where(F.col("estimate") < min_sites + band).select("h")
     exact = (
-        join_sized(lines.where("site is not null"), near, near.limit(BROADCAST_ROWS + 1).count(), ["h"], "left_semi")
+        join_sized(lines.where("site is not null"), near, size_of(near), ["h"], "left_semi")
         .groupBy("h", "site").agg(F.count("*").alias("n")).groupBy("h").agg(F.count("*").alias("sites"))
         .where(F.col("sites") >= min_sites).select("h")
     )
@@ -71,24 +71,23 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, id
     """Every row of ``docs`` with its text less the removed lines, and ``n_removed`` (long), as (row struct ``r``, text, n_removed)."""
     rows = docs.select(F.struct(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(site_col).alias("site")).alias("r"), F.struct("*").alias("row"))
     found = boilerplate(rows, min_sites, lg_k)
-    n = found.limit(BROADCAST_ROWS + 1).count()
-    hits = join_sized(_lines(rows), found, n, ["h"], "inner")
-    mine = F.col("doc_id").eqNullSafe(F.col("keeper"))
-    drops = materialize(
-        hits.groupBy("doc_id", "text_hash").agg(F.collect_set(F.when(~mine, F.col("h"))).alias("drop"), F.collect_set(F.when(mine, F.col("h"))).alias("once"))
-        .withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"}), "line_drops")
-    n = drops.agg(F.sum(1 + (F.size("drop") + F.size("once")) / 8)).first()[0] or 0
-    joined = join_sized(rows, drops, n, F.col("r.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("r.text") == F.col("_hash")), "left")
-
-    def keep(parts: Column, hashes: Column) -> Column:
-        gone = lambda h, i: F.array_contains("drop", h) | (F.array_contains("once", h) & (F.array_position(hashes, h) <= i))
-        return F.filter(parts, lambda x, i: ~F.coalesce(let(F.get(hashes, i), lambda h: gone(h, i)), F.lit(False)))
-
-    cut = let(F.split("r.text", "\n"), lambda parts: let(_line_hashes(F.col("r.text")), lambda hashes: let(
-        keep(parts, hashes), lambda left: F.struct(F.array_join(left, "\n").alias("text"), (F.size(parts) - F.size(left)).cast("long").alias("n")))))
-    cut = F.when(F.col("_hash").isNotNull() & F.col("r.text").isNotNull(), cut)
-    out = joined.select("row", "r", cut.alias("c"))
-    return out.select("row", F.when(F.col("c").isNull(), F.col("r.text")).otherwise(F.col("c.text")).alias("text"), F.coalesce("c.n", F.lit(0).cast("long")).alias("n_removed"))
+    n = size_of(found)
+    places = rows.select(F.col("r.doc_id").alias("_id"), F.xxhash64("r.text").alias("_hash"), F.posexplode(_line_hashes(F.col("r.text"))).alias("i", "h")).where("h is not null")
+    hits = join_sized(places, found, n, ["h"], "inner").select("_id", "_hash", F.struct("h", "i", F.col("_id").eqNullSafe(F.col("keeper")).alias("mine")).alias("x"))
+    # of a line that this document keeps, all places but the first go
+    marks = let(F.sort_array("marks"), lambda m: F.transform(F.filter(m, lambda x, k: ~(x["mine"] & ((k == 0) | (F.get(m, k - 1)["h"] != x["h"])))), lambda x: x["i"]))
+    drops = hits.groupBy("_id", "_hash").agg(F.collect_set("x").alias("marks")).select("_id", "_hash", F.sort_array(marks).alias("gone"))
+    drops = materialize(drops.where(F.size("gone") > 0), "line_drops")
+    joined = join_sized(rows, drops, size_of(drops), F.col("r.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("r.text") == F.col("_hash")), "left")
+
+    def kept(parts: Column, gone: Column) -> Column:
+        """The lines between those that go."""
+        start = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(gone, k - 1) + 1)
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda k: F.slice(parts, start(k) + 1, F.coalesce(F.get(gone, k), F.size(parts)) - start(k))))
+
+    cut = let(F.split("r.text", "\n"), lambda parts: F.array_join(kept(parts, F.col("gone")), "\n"))
+    return joined.select(
+        "row", F.when(F.col("gone").isNull(), F.col("r.text")).otherwise(cut).alias("text"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
