@@ -2,36 +2,27 @@
 
 from __future__ import annotations
 
+import contextvars
 import functools
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from ..plans.shared import delete, new_folder, shared_dir  # noqa: F401  shared_dir for the operators and their tests
 
 #: Java and Python spelling of the contract's word separators.
 WORD_GAP = r"[\x20\x09-\x0D]+"
-#: Largest row count of a side that is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
-
+#: Largest size of a side that is broadcast, as ``size_of`` counts; beyond it the join shuffles.
+BROADCAST_BYTES = 24_000_000
 #: Whether a query's shuffle files go when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else one made here for local runs."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='palimpsest-')}"
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
 def ship(spark: SparkSession) -> None:
     """Gives this package to the Python workers, once a context, for sessions that were started without it."""
     context = spark.sparkContext
@@ -56,24 +47,20 @@ def shipped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
-_scopes: list[list[str]] = []
-
-
-def _delete(spark: SparkSession, path: str, at_exit: bool = False) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.deleteOnExit(where) if at_exit else files.delete(where, True)
+#: The tables of the enclosing ``scratch`` of this thread or task.
+_scope: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scope", default=None)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes at its end the tables that operators have written within it; not those written with ``keep``."""
-    _scopes.append([])
+    mark = _scope.set([])
     try:
         yield
     finally:
-        for path in _scopes.pop():
-            _delete(spark, path)
+        for path in _scope.get():
+            delete(spark, path)
+        _scope.reset(mark)
 
 
 def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
@@ -83,16 +70,15 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     nothing will read again, go at its end.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/palimpsest/{uuid.uuid4().hex}/{name}"
+    path = new_folder(spark, name)
     cleanup = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, cleanup)
-    if _scopes and not keep:
-        _scopes[-1].append(path)
-    _delete(spark, path, at_exit=True)
+    if _scope.get() is not None and not keep:
+        _scope.get().append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
@@ -100,12 +86,23 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
 
 def release(df: DataFrame) -> None:
     """Deletes a table that ``materialize`` has returned."""
-    _delete(df.sparkSession, df._written_to)
+    delete(df.sparkSession, df._written_to)
+
+
+def size_of(df: DataFrame) -> int:
+    """About how many bytes ``df`` takes on the heap of a task that holds it, counted up to somewhat above BROADCAST_BYTES."""
+    def extra(name: str, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(name), F.lit(0))
+        return F.coalesce(F.size(name) * 8, F.lit(0)) if isinstance(kind, T.ArrayType) else F.lit(0)
+
+    row = sum((extra(f.name, f.dataType) for f in df.schema), F.lit(32 + 8 * len(df.columns)))
+    return df.select(row.alias("n")).limit(BROADCAST_BYTES // 32).agg(F.sum("n")).first()[0] or 0
 
 
-def join_sized(big: DataFrame, small: DataFrame, rows: int, on: Column | list[str], how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Joins with ``small`` broadcast if its counted ``rows`` are within ``limit``; else both sides shuffle."""
-    return big.join(F.broadcast(small) if rows <= limit else small.hint("merge"), on, how)
+def join_sized(big: DataFrame, small: DataFrame, size: int, on: Column | list[str], how: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Joins with ``small`` broadcast if its ``size_of`` is within ``limit``; else both sides shuffle."""
+    return big.join(F.broadcast(small) if size <= limit else small.hint("merge"), on, how)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

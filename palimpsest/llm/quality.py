@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import BROADCAST_ROWS, join_sized, let, words_of
+from .common import join_sized, let, size_of, words_of
 
 BUCKETS = 10_000
 #: Kept from this mean log-likelihood ratio (nats for each n-gram) on.
@@ -84,7 +84,7 @@ def ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, id_col:
     """
     ids = trusted.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct()
     rows = docs.select(F.col(id_col).alias("_id"), _hashes(words_of(F.col(text_col))).alias("h"))
-    rows = join_sized(rows, ids.withColumn("_t", F.lit(1)), ids.limit(BROADCAST_ROWS + 1).count(), ["_id"], "left")
+    rows = join_sized(rows, ids.withColumn("_t", F.lit(1)), size_of(ids), ["_id"], "left")
     counts = (
         rows.select(F.coalesce("_t", F.lit(0)).alias("t"), F.explode(_buckets(F.col("h"), buckets)).alias("b"))
         .groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))

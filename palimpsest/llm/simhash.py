@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BROADCAST_ROWS, arrow_rows, join_sized, materialize
+from .common import arrow_rows, join_sized, materialize, size_of
 
 SHINGLE = 4
 DISTANCE = 4
@@ -184,7 +184,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, bucket_rows: int = BUCKET_RO
     for depth in range(2, max(distance, 1) + 2):
         hot = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows).select("key")
         hot = materialize(hot, "simhash_hot") if depth <= distance else hot.limit(0)
-        n = hot.limit(BROADCAST_ROWS + 1).count() if depth <= distance else 0
+        n = size_of(hot) if depth <= distance else 0
         kept = rows if not n else join_sized(rows, hot, n, ["key"], "left_anti")
         near = kept.select("key", "start", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
         found = near if found is None else found.unionAll(near)
@@ -223,11 +223,11 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     least = groups.groupBy("root").agg(F.min("first_id").alias("component_id"))
     linked = groups.join(least, "root").select("fp", "component_id")
     table = materialize(classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")), "simhash_components")
-    return join_sized(fps, table, table.limit(BROADCAST_ROWS + 1).count(), ["fp"], "left").select("doc_id", "text_hash", "fp", "component_id")
+    return join_sized(fps, table, size_of(table), ["fp"], "left").select("doc_id", "text_hash", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: the smallest id, of that the smallest text hash; of equal rows one.
+    """``docs`` with one row of each component: the smallest id, of that the smallest text hash, of that the smallest hash of all columns.
 
     Rows of a null id in a component that has other ids go; if all ids of a component are null, one row stays.
     """
@@ -236,16 +236,16 @@ def deduplicate(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGL
     # a component that has no id is told by its fingerprint's class
     keys = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp")).agg(F.min(first).alias("k"))
     kept = materialize(keys.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash")), "simhash_kept")
-    n = kept.limit(BROADCAST_ROWS + 1).count()
+    n = size_of(kept)
     same = F.col(f"r.{id_col}").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(f"r.{text_col}") == F.col("_hash"))
     repeated = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
     repeated = materialize(repeated.join(kept.select(F.col("_id").alias("i"), F.col("_hash").alias("h")), F.col("_id").eqNullSafe(F.col("i")) & (F.col("_hash") == F.col("h")), "left_semi"), "simhash_repeated")
     rows = join_sized(docs.select(F.struct("*").alias("r")), kept, n, same, "left_semi")
-    m = repeated.limit(BROADCAST_ROWS + 1).count()
+    m = size_of(repeated)
     if not m:
         return rows.select("r.*")
     once = join_sized(rows, repeated, m, same, "left_anti")
-    more = join_sized(rows, repeated, m, same, "left_semi").groupBy(F.col(f"r.{id_col}"), F.xxhash64(f"r.{text_col}")).agg(F.first("r").alias("r"))
+    more = join_sized(rows, repeated, m, same, "left_semi").groupBy(F.col(f"r.{id_col}"), F.xxhash64(f"r.{text_col}")).agg(F.min_by("r", F.xxhash64("r")).alias("r"))
     return once.unionAll(more.select("r")).select("r.*")
 
 
