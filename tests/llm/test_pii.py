@@ -157,3 +157,46 @@ def test_empty(spark, empty, docs, rows):
     assert pii.fit(empty) is None
     assert pii.pii(empty, None).count() == 0
     assert pii.pii(docs, None).count() == len(rows)
+
+
+def test_messages_against_plain_loops():
+    """Loopy message passing over a graph with cycles and observed labels, one message at a time."""
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n, labels = 9, pii.LABELS
+    node, edge = rng.normal(size=(n, labels)), rng.normal(size=(2, labels, labels))
+    links = [(i, i + 1, 0) for i in range(n - 1)] + [(0, 4, 1), (2, 7, 1), (1, 8, 1), (4, 8, 1)]
+    observed = [0, 0, 3, 0, 0, 0, 1, 0, 0]
+    z = [list(row) for row in node]
+    for i, y in enumerate(observed):
+        if y:
+            top = max(v - 50 for v in z[i])
+            z[i] = [v - 50 for v in z[i]]
+            z[i][y] = top + 100
+    pot = {}
+    for i, j, t in links:
+        pot[i, j], pot[j, i] = edge[t], edge[t].T
+    msg = {e: [0.0] * labels for e in pot}
+    for _ in range(pii.PASSES):
+        new = {}
+        for i, j in pot:
+            into = [z[i][a] + sum(msg[k, m][a] for k, m in pot if m == i and k != j) for a in range(labels)]
+            out = [math.log(sum(math.exp(pot[i, j][a][b] + into[a] - max(into)) for a in range(labels))) for b in range(labels)]
+            new[i, j] = [0.5 * old + 0.5 * (v - max(out)) for old, v in zip(msg[i, j], out)]
+        msg = new
+    for i in range(n):
+        total = [z[i][a] + sum(msg[k, m][a] for k, m in pot if m == i) for a in range(labels)]
+        e = [math.exp(v - max(total)) for v in total]
+        got = pii.marginals(np.arange(n)[:, None], np.array(links), node, edge, observed=np.array(observed))[i]
+        assert np.allclose(got, np.array(e) / sum(e), atol=1e-9)
+
+
+def test_documents_do_not_touch_each_other(spark, texts):
+    import zlib
+
+    field = pii.fit(spark.createDataFrame(list(enumerate(texts[:150])), "doc_id long, text string"))
+    hidden = [pii.disguised(t, pii.base_spans(t), zlib.crc32(t.encode()))[0] for t in texts[150:210]]
+    assert pii.find([None, *hidden, ""], field) == [([], []), *(pii.find([t], field)[0] for t in hidden), ([], [])]
